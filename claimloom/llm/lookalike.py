@@ -24,8 +24,6 @@ OTHERS = r"Ͱ-ϿЀ-ԯ԰-֏"
 #: Compatibility forms that look different from what they stand for stay as they are.
 _KEPT = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>")
 
-_compat: dict[str, str] = {}
-
 
 def _fold_char(c: str) -> str:
     if c in IGNORABLE:
@@ -40,22 +38,35 @@ def _fold_char(c: str) -> str:
     return c
 
 
-class _Folding(dict):
-    """str.translate table that is filled as characters are met."""
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+class _Runs(dict):
+    """Folded forms of runs of non-ASCII characters, filled as runs are met."""
 
-    def __missing__(self, code: int) -> str:
-        self[code] = got = _fold_char(chr(code))
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, run: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        self[run] = got = self.make(run)
         return got
 
+    def __call__(self, text: str) -> str:
+        text = _NOT_ASCII.sub(lambda m: self[m.group()], text)
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
 
-_FOLD = _Folding()
+_folded = _Runs(lambda run: "".join(map(_fold_char, run)))
 _TOKEN = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 _OTHER = re.compile(f"[{OTHERS}ıɡɑᴏꞓ]")
 
 
 def fold(text: str) -> str:
     """Compatibility normalization, spaces and hyphens of one form, ignorable characters gone, accents composed."""
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_FOLD))
+    return text if text.isascii() else _folded(text)
 
 
 def _script(c: str) -> str:
@@ -162,8 +173,9 @@ class Lattice:
 
 
 _SKELETON = str.maketrans(TO_LATIN)
+_latin = _Runs(lambda run: unicodedata.normalize("NFD", "".join(map(_fold_char, run))).translate(_SKELETON))
 
 
 def skeleton(text: str) -> str:
     """The all-Latin reading: enough where both sides are known to be Latin text."""
-    return text if text.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", fold(text)).translate(_SKELETON))
+    return text if text.isascii() else _latin(text)
