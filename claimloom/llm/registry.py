@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("p01_markup", "p03_lookalikes", "p04_copies", "p05_scans", "p07_components", "p08_packing", "p09_leaks", "p10_quality")
+_MODULES = ("p01_markup", "p02_concepts", "p03_lookalikes", "p04_copies", "p05_scans", "p06_clusters", "p07_components", "p08_packing", "p09_leaks", "p10_quality")
 
 QUERIES: dict = {}
 SQL: dict = {}
