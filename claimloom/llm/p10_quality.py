@@ -56,10 +56,14 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     controls = CONTROLS.split("|")
     t = docs.select("doc_id", F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang"), _plain(F.coalesce("text", F.lit(""))).alias("t"))
     t = t.select("doc_id", "lang", "t", F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"), F.filter(F.transform(F.split("t", r"[\n\f\r]+"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
-    t = t.withColumn("joined", F.array_join("w", ""))
+    t = t.withColumn("joined", F.array_join("w", "")).withColumn("kinds", F.array_distinct("w"))
+    t = t.withColumn("once", F.array_join("kinds", ""))
     w, lines = F.col("w"), F.col("lines")
-    n_words, n_lines, alnum = F.size(w), F.size(lines), F.length("joined")
-    blank = F.length("t") - F.length(F.translate("t", " \t\n\r\f ", ""))
+    n_words, n_lines, alnum, once = F.size(w), F.size(lines), F.length("joined"), F.length("once")
+    solid = F.col("t")
+    for c in " \n\t\f\r\u00a0":
+        solid = F.replace(solid, F.lit(c), F.lit(""))
+    solid = F.length(solid)
 
     def ends(x: Column) -> Column:
         return F.right(F.rtrim(x, F.lit("\"'”’»)] ")), F.lit(1)).isin(".", "!", "?", "…", ":")
@@ -77,12 +81,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         n_words.alias("n_words"),
         n_lines.alias("n_lines"),
         _share(alnum, n_words).alias("mean_word"),
-        _share(F.length("t") - blank - alnum, F.length("t") - blank).alias("symbol_ratio"),
+        _share(solid - alnum, solid).alias("symbol_ratio"),
         _share(F.size(F.filter(lines, ends)), n_lines).alias("line_end_share"),
         _share(F.size(F.filter(w, lambda x: x.isin(*common))), n_words).alias("common_share"),
-        _share(alnum - F.length(F.translate("joined", "0123456789", "")), alnum).alias("digit_ratio"),
-        _share(alnum - F.length(F.translate("joined", "aeiouyáéíóúàèìòùâêîôûäëïöüœæ", "")), alnum).alias("vowel_ratio"),
-        _share(F.size(F.array_distinct(w)).cast("double"), F.sqrt(n_words)).alias("variety"),
+        _share(once - F.length(F.translate("once", "0123456789", "")), once).alias("digit_ratio"),
+        _share(once - F.length(F.translate("once", "aeiouyáéíóúàèìòùâêîôûäëïöüœæ", "")), once).alias("vowel_ratio"),
+        _share(F.size("kinds").cast("double"), F.sqrt(n_words)).alias("variety"),
         _share(F.size(F.filter(lines, entry)), n_lines).alias("entry_share"),
         _share(F.size(F.filter(lines, columns)), n_lines).alias("column_share"),
         _share(F.size(F.array_distinct(lines)), n_lines).alias("line_variety"),
