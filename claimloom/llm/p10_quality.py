@@ -17,6 +17,8 @@ from claimloom.scratch import Scratch
 
 #: Languages with fewer documents than this share are measured against all documents, so there are at most 1/share + 1 sketches.
 LANGUAGE_SHARE = 0.002
+#: Longer lines are paragraphs, not entries of a list or rows of a table.
+ROW_CHARS = 300
 #: 1/error of the quantile sketches.
 ACCURACY = 2000
 
@@ -69,11 +71,11 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         return F.right(F.rtrim(x, F.lit("\"'”’»)] ")), F.lit(1)).isin(".", "!", "?", "…", ":")
 
     def entry(x: Column) -> Column:
-        return x.rlike(r"^(?:[-–•·◦→*▪]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])\s|\.{4,}\s*\d|^\D{2,60}\((?:1[89]|20)\d\d[a-z]?\)\. .*\d\.?$") | (~ends(x) & (F.size(F.split(x, " ")) <= 6))
+        return (F.length(x) <= ROW_CHARS) & (x.rlike(r"^(?:[-–•·◦→*▪]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])\s|\.{4,}\s*\d|^\D{2,60}\((?:1[89]|20)\d\d[a-z]?\)\. .*\d\.?$") | (~ends(x) & (F.size(F.split(x, " ")) <= 6)))
 
     def columns(x: Column) -> Column:
         cells = F.size(F.split(x, r"\t| {3,}|; | \| |\||, "))
-        return (cells >= 3) & (F.length(F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz ", "")) >= 0.4 * F.length(F.translate(x, " ", "")))
+        return (F.length(x) <= ROW_CHARS) & (cells >= 3) & (F.length(F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz ", "")) >= 0.4 * F.length(F.translate(x, " ", "")))
 
     return t.select(
         "doc_id",
