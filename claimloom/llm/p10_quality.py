@@ -32,6 +32,8 @@ COMMON = {
 # The controls of a web page.
 CONTROLS = "log in|log out|sign in|sign up|register|home|menu|search|share|cite|next page|previous page|back to top|accept all|reject all|download pdf|download|print|contact|about|about us|help|settings|cookies|cookie settings|privacy policy|terms of use|subscribe|follow us|read more|skip to content|view more|load more|close|next|previous"
 
+#: Least scale of each statistic, so that a corpus of much the same texts doesn't make every other text extreme.
+LEAST_SCALE = {"mean_word": 0.2, "symbol_ratio": 0.005, "line_end_share": 0.02, "common_share": 0.01, "digit_ratio": 0.005, "vowel_ratio": 0.01, "variety": 0.3, "entry_share": 0.02, "column_share": 0.02}
 STATS = ("mean_word", "symbol_ratio", "line_end_share", "common_share", "digit_ratio", "vowel_ratio", "variety", "entry_share", "column_share")
 
 
@@ -104,7 +106,7 @@ def language_sketches(stats: DataFrame) -> DataFrame:
     frequent = [r["lang"] for r in counts.where(F.col("n") >= max(30, LANGUAGE_SHARE * total)).collect()]
     groups = stats.where("n_words > 0").withColumn("sketch", F.explode(F.array_compact(F.array(F.lit("*"), F.when(F.col("lang").isin(*frequent, "\u0000"), F.col("lang"))))))
     got = groups.groupBy("sketch").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], ACCURACY).alias(s) for s in STATS))
-    return got.select("sketch", *(F.struct(F.col(s)[1].alias("median"), F.greatest((F.col(s)[2] - F.col(s)[0]) / 1.349, F.lit(1e-3)).alias("scale")).alias(f"q_{s}") for s in STATS))
+    return got.select("sketch", *(F.struct(F.col(s)[1].alias("median"), F.greatest((F.col(s)[2] - F.col(s)[0]) / 1.349, F.lit(LEAST_SCALE[s])).alias("scale")).alias(f"q_{s}") for s in STATS))
 
 
 def z_scores(stats: DataFrame, sketches: DataFrame) -> DataFrame:
