@@ -1,7 +1,392 @@
-"""Queries over the library's own operators, and their SQL."""
+"""Queries over the library's own operators, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.functions import text as T
+from claimloom.operators import causal_map as M
+from claimloom.operators import dois as D
+from claimloom.operators import extract as X
+from claimloom.operators import harvest as H
+from claimloom.operators import labels as L
+from claimloom.operators import vectors as V
+
 FLAGSHIP = "causal_map_edges"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as read, before any earlier run's verdict."""
+    return table(spark, sf, "line_rows").select("line_id", "doc_id", "page", "line_no", F.lit("").alias("section"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("kept"), F.lit("").alias("drop_reason"), F.lit("").alias("flag"))
+
+
+# --- lines ------------------------------------------------------------------
+
+
+@query
+def lines_running_heads(spark, sf):
+    return H.drop_running_heads(_lines(spark, sf)).select("line_id", "kept", "drop_reason")
+
+
+@query
+def lines_junk(spark, sf):
+    return H.drop_junk_lines(H.drop_running_heads(_lines(spark, sf))).select("line_id", "section", "kept", "drop_reason")
+
+
+@query
+def lines_paragraphs(spark, sf):
+    return H.join_paragraphs(H.drop_junk_lines(H.drop_running_heads(_lines(spark, sf))))
+
+
+@query
+def lines_drop_summary(spark, sf):
+    return H.drop_junk_lines(H.drop_running_heads(_lines(spark, sf))).groupBy("drop_reason").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def harvest_sentences(spark, sf):
+    """The whole pipeline over pages put together from the lines."""
+    lines = table(spark, sf, "line_rows").select("doc_id", "page", "line_no", F.coalesce("text", F.lit("")).alias("text"))
+    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("markdown"))
+    return H.harvest(pages).select("doc_id", "page", "sent_id", "section", "raw", F.col("text").alias("clean"), "kept", "drop_reason", "flag")
+
+
+_LINES = """
+WITH l0 AS (SELECT line_id, doc_id, page, line_no, trim(coalesce(text, '')) AS t FROM line_rows),
+heads AS (SELECT doc_id, t FROM l0 WHERE length(t) BETWEEN 1 AND 90 GROUP BY doc_id, t HAVING count(*) >= 3),
+l1 AS (SELECT l0.*, heads.t IS NULL AS k1 FROM l0 LEFT JOIN heads ON heads.doc_id = l0.doc_id AND heads.t = l0.t)
+"""
+_JUNK = (
+    _LINES
+    + r""",
+l2 AS (SELECT *, coalesce(last_value(CASE WHEN k1 AND regexp_matches(t, '^\s*(CHAPTER|PART)\s*$') THEN 0
+   WHEN k1 AND regexp_matches(t, '(?i)^#{1,6}\s*(references|bibliography|notes?|acknowledge?ments?)\s*$') THEN 1 END IGNORE NULLS)
+   OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) = 1 AS refs FROM l1),
+l3 AS (SELECT *, coalesce(last_value(CASE WHEN k1 AND NOT refs AND regexp_matches(t, '^#{1,6}\s') THEN regexp_replace(t, '^#+\s*', '') END IGNORE NULLS)
+   OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS sec FROM l2),
+l4 AS (SELECT *, CASE WHEN NOT k1 THEN 'running_head' WHEN refs THEN 'reference_section' WHEN t = '' THEN 'blank'
+   WHEN regexp_matches(t, '^\s*(CHAPTER|PART)\s*$') THEN 'chapter_marker' WHEN regexp_matches(t, '(?i)^\s*(index|contents|appendix)\s*$') THEN 'front_back_matter'
+   WHEN t LIKE '|%' THEN 'table_row' WHEN regexp_matches(t, '^#{1,6}\s') THEN 'heading' WHEN regexp_matches(t, '(?i)^\s*[ivxlcdm\d]{1,6}\s*$') THEN 'page_number'
+   WHEN regexp_matches(t, '(?i)^\s*(\[?https?://|10\.\d{4,}/|doi:)') THEN 'doi_url' WHEN regexp_matches(t, '^\s*[\w./:%-]+\s*$') AND regexp_matches(t, '\d') THEN 'ref_fragment'
+   WHEN length(regexp_replace(t, '[^\p{L}\s]', '', 'g')) / length(t) < 0.55 THEN 'low_alpha' ELSE '' END AS reason FROM l3)
+"""
+)
+SQL["lines_running_heads"] = _LINES + "SELECT line_id, k1 AS kept, CASE WHEN k1 THEN '' ELSE 'running_head' END AS drop_reason FROM l1"
+SQL["lines_junk"] = _JUNK + "SELECT line_id, CASE WHEN k1 AND NOT refs THEN sec ELSE '' END AS section, reason = '' AS kept, reason AS drop_reason FROM l4"
+SQL["lines_drop_summary"] = _JUNK + "SELECT reason AS drop_reason, count(*) AS n_lines FROM l4 GROUP BY reason"
+SQL["lines_paragraphs"] = (
+    _JUNK
+    + r""",
+k0 AS (SELECT *, reason = '' AS kept, coalesce(lag(reason = '') OVER (PARTITION BY doc_id ORDER BY line_no), false) AS open FROM l4),
+k1 AS (SELECT *, sum(CASE WHEN kept AND NOT open THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block FROM k0),
+k2 AS (SELECT doc_id, line_no, page, sec, t, block, coalesce(lag(t) OVER b LIKE '%-' AND regexp_matches(t, '^\p{Ll}'), false) AS glued, row_number() OVER b AS rn FROM k1 WHERE kept WINDOW b AS (PARTITION BY doc_id, block ORDER BY line_no)),
+k3 AS (SELECT *, coalesce(lead(glued) OVER (PARTITION BY doc_id, block ORDER BY line_no), false) AS nxt FROM k2),
+b0 AS (SELECT doc_id, block, arg_min(page, line_no) AS page, arg_min(sec, line_no) AS section,
+   string_agg((CASE WHEN glued OR rn = 1 THEN '' ELSE ' ' END) || (CASE WHEN nxt THEN t[:-2] ELSE t END), '' ORDER BY line_no) AS text FROM k3 GROUP BY doc_id, block),
+b1 AS (SELECT doc_id, block, page, section, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([\p{L}\p{N}_])- ([a-z])', '\1\2', 'g') AS text FROM b0),
+b2 AS (SELECT *, sum(CASE WHEN coalesce(NOT prev_ends AND regexp_matches(text, '^\p{Ll}'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block ROWS UNBOUNDED PRECEDING) - 1 AS para
+   FROM (SELECT *, lag(regexp_matches(text, '[.!?]["'')\]]?$')) OVER (PARTITION BY doc_id ORDER BY block) AS prev_ends FROM b1))
+SELECT doc_id, CAST(para AS BIGINT) AS para, arg_min(page, block) AS page, arg_min(section, block) AS section, string_agg(text, ' ' ORDER BY block) AS text FROM b2 GROUP BY doc_id, para"""
+)
+
+
+# --- sentences --------------------------------------------------------------
+
+
+def _sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "sentences").select("row_id", F.coalesce("clean", F.lit("")).alias("text"), F.lit(True).alias("kept"), F.lit("").alias("drop_reason"), F.lit("").alias("flag"))
+
+
+@query
+def sentences_junk(spark, sf):
+    return H.filter_length(H.drop_junk_sentences(_sentences(spark, sf))).select("row_id", "kept", "drop_reason", "flag")
+
+
+@query
+def sentences_stripped(spark, sf):
+    """Unicode in one form, then markdown, citations and statistics taken out."""
+    return H.strip_stats(H.strip_citations(H.strip_markdown(H.fix_unicode(_sentences(spark, sf))))).select("row_id", "text")
+
+
+@query
+def sentences_relations(spark, sf):
+    """Relations by the built-in predictor."""
+    return X.extract_relations(table(spark, sf, "sentences"))
+
+
+@query
+def sentences_content_words(spark, sf):
+    w = table(spark, sf, "sentences").select(F.explode(T.content_words(F.coalesce("clean", F.lit("")))).alias("word"))
+    return w.groupBy("word").agg(F.count("*").alias("n"))
+
+
+SQL["sentences_content_words"] = f"""
+SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(clean, '')), '[a-z][a-z''-]+')) AS word FROM sentences)
+WHERE word NOT IN ({', '.join(f"'{w}'" for w in T.STOPWORDS)}) GROUP BY word"""
+
+
+# --- spans and relations ----------------------------------------------------
+
+
+@query
+def spans_distinct(spark, sf):
+    return M.collect_spans(table(spark, sf, "relations"))
+
+
+@query
+def spans_tidy(spark, sf):
+    r = table(spark, sf, "relations").select("row_id", F.coalesce("cause", F.lit("")).alias("c"), F.coalesce("effect", F.lit("")).alias("e"))
+    return r.select("row_id", T.tidy_span(F.col("c")).alias("cause"), T.tidy_span(F.col("e")).alias("effect"), T.is_vague(F.col("c")).alias("cause_vague"), T.is_vague(F.col("e")).alias("effect_vague"))
+
+
+@query
+def relations_verbatim(spark, sf):
+    """Relations whose two spans both stand in their sentence, by page."""
+    r = table(spark, sf, "relations")
+    both = F.lower("sentence").contains(F.lower("cause")) & F.lower("sentence").contains(F.lower("effect"))
+    return r.groupBy("page").agg(F.count("*").alias("n_relations"), F.sum(F.when(both, 1).otherwise(0)).alias("n_verbatim"))
+
+
+_Q = "\"''“”‘’`"
+
+
+def _sql_tidy(x: str) -> str:
+    t = rf"regexp_replace({x}, '\[(CLS|SEP|PAD|UNK|MASK)\]', ' ', 'g')"
+    for p, by in ((r"\s+##", ""), ("##", ""), (r"\s+''\s*", "''"), (r"\s+([,.;:!?%)\]}])", r"\1"), (r"([(\[{])\s+", r"\1"), (r"\s+", " ")):
+        t = f"regexp_replace({t}, '{p}', '{by}', 'g')"
+    left, right = rf"' ' || chr(9) || '{_Q},.;:!?)]}}'", rf"' ' || chr(9) || '{_Q},.;:!?([{{'"
+    t = f"rtrim(ltrim({t}, {left}), {right})"
+    flat = f"trim(regexp_replace(translate(s, '()', '  '), '\\s+', ' ', 'g'), {left} || {right})"
+    return f"(SELECT CASE WHEN len(s) - len(replace(s, '(', '')) = len(s) - len(replace(s, ')', '')) THEN s ELSE {flat} END FROM (SELECT {t} AS s))"
+
+
+def _sql_vague(x: str) -> str:
+    w = rf"list_filter(string_split_regex(lower(regexp_replace(trim({x}), '(?i)^(?:the|a|an)\s+', '')), '\s+'), lambda w: w <> '')"
+    return f"coalesce(len({w}) BETWEEN 1 AND {T.MOST_POINTER_WORDS} AND {w}[1] IN ({', '.join(f"'{p}'" for p in T.POINTERS)}), false)"
+
+
+SQL["spans_distinct"] = """
+SELECT span, min(row_id * 2 + side) AS ord FROM (SELECT row_id, 0 AS side, trim(coalesce(cause, '')) AS span FROM relations
+UNION ALL SELECT row_id, 1, trim(coalesce(effect, '')) FROM relations) WHERE span <> '' GROUP BY span"""
+SQL["spans_tidy"] = f"""
+SELECT row_id, {_sql_tidy('c')} AS cause, {_sql_tidy('e')} AS effect, {_sql_vague('c')} AS cause_vague, {_sql_vague('e')} AS effect_vague
+FROM (SELECT row_id, coalesce(cause, '') AS c, coalesce(effect, '') AS e FROM relations)"""
+SQL["relations_verbatim"] = """
+SELECT page, count(*) AS n_relations, sum(CASE WHEN contains(lower(sentence), lower(cause)) AND contains(lower(sentence), lower(effect)) THEN 1 ELSE 0 END)::BIGINT AS n_verbatim FROM relations GROUP BY page"""
+
+
+# --- groups -----------------------------------------------------------------
+
+
+@query
+def group_keywords(spark, sf):
+    return L.keywords(table(spark, sf, "span_groups"))
+
+
+@query
+def group_labels(spark, sf):
+    return L.label_groups(table(spark, sf, "span_groups"))
+
+
+_KEYWORDS = f"""
+WITH g AS (SELECT *, CASE WHEN "group" = -1 THEN 's:' || coalesce(span, '') ELSE 'g:' || "group" END AS key FROM span_groups),
+w AS (SELECT key, ord, u.word, u.pos FROM (SELECT key, ord, regexp_extract_all(lower(coalesce(span, '')), '[a-z][a-z''-]+') AS ws FROM g),
+   LATERAL (SELECT unnest(ws) AS word, generate_subscripts(ws, 1) AS pos) u WHERE u.word NOT IN ({', '.join(f"'{w}'" for w in T.STOPWORDS)})),
+tf AS (SELECT key, word, count(*) AS n, min(ord * 1000 + pos) AS first FROM w GROUP BY key, word),
+sz AS (SELECT key, sum(n) AS n_words FROM tf GROUP BY key), sp AS (SELECT word, count(*) AS k FROM tf GROUP BY word),
+sc AS (SELECT tf.key, tf.word, tf.first, tf.n / sz.n_words * ln(1 + (SELECT count(DISTINCT key) FROM g) / sp.k) AS score FROM tf JOIN sz USING (key) JOIN sp USING (word)),
+kw AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(score, 12) DESC, first) AS rank FROM sc QUALIFY rank <= 5)
+"""
+SQL["group_keywords"] = _KEYWORDS + "SELECT key, CAST(rank AS INTEGER) AS rank, word, round(score, 3) AS score FROM kw"
+SQL["group_labels"] = (
+    _KEYWORDS
+    + """, f AS (SELECT key, count(*) AS size, arg_min(coalesce(span, ''), ord) AS span, arg_min(coalesce(central, ''), ord) AS central FROM g GROUP BY key),
+ln AS (SELECT key, string_agg(word, ' ' ORDER BY rank) AS line FROM kw GROUP BY key)
+SELECT f.key, f.central, f.size, CASE WHEN f.size = 1 THEN f.span ELSE f.central || ' | ' || coalesce(ln.line, '') END AS name FROM f LEFT JOIN ln USING (key)"""
+)
+
+
+# --- the causal map ---------------------------------------------------------
+
+
+def _map(spark: SparkSession, sf: str) -> M.CausalMap:
+    relations = table(spark, sf, "relations")
+    return M.causal_map(relations, M.concept_names(M.collect_spans(relations), table(spark, sf, "concepts")))
+
+
+@query
+def causal_map_edges(spark, sf):
+    return M.number_edges(_map(spark, sf).edges).drop("first_row")
+
+
+@query
+def causal_map_nodes(spark, sf):
+    return _map(spark, sf).nodes
+
+
+@query
+def causal_map_evidence(spark, sf):
+    return _map(spark, sf).evidence.select("row_id", "source", "target", "rel_id")
+
+
+@query
+def causal_map_papers(spark, sf):
+    return M.papers_of(table(spark, sf, "relations"))
+
+
+@query
+def causal_map_summary(spark, sf):
+    return _map(spark, sf).edges.groupBy("direction", "self_loop", "drop_reason").agg(F.count("*").alias("n_edges"), F.sum("n_relations").alias("n_relations"))
+
+
+@query
+def causal_map_neighbours(spark, sf):
+    """Nodes within two steps of those found by a search, over the shown edges."""
+    m = _map(spark, sf)
+    return M.neighbourhood(m.edges.where("drop_reason = ''"), M.search_nodes(m.nodes, "sleep opt"), 2)
+
+
+_PLACED = f"""
+WITH RECURSIVE sp AS (SELECT DISTINCT span FROM (SELECT trim(coalesce(cause, '')) AS span FROM relations UNION ALL SELECT trim(coalesce(effect, '')) FROM relations) WHERE span <> ''),
+lab AS (SELECT lower(l) AS query, min(id) AS id, arg_min(leaf, id) AS leaf FROM (SELECT id, leaf, unnest(list_concat([leaf], coalesce(alt, []))) AS l FROM concepts) GROUP BY lower(l)),
+nm AS (SELECT q.span, coalesce('c:' || lab.id, 's:' || q.span) AS node_id, coalesce(lab.leaf, q.span) AS label FROM (SELECT span, lower({_sql_tidy('span')}) AS query FROM sp) q LEFT JOIN lab USING (query)),
+pl AS (SELECT r.*, a.node_id AS source, b.node_id AS target FROM relations r JOIN nm a ON a.span = trim(r.cause) JOIN nm b ON b.span = trim(r.effect)),
+e0 AS (SELECT source, target, count(*) AS n_relations, count(DISTINCT coalesce(sent_id, rel_id)) AS n_sentences, count(DISTINCT doc_id) AS n_papers, min(row_id) AS first_row FROM pl GROUP BY source, target),
+ed AS (SELECT x.source, x.target, x.n_papers, x.n_sentences, x.n_relations, x.first_row,
+   CASE WHEN y.source IS NULL OR x.source = x.target THEN 'one-way' WHEN greatest(x.n_papers, y.n_papers) / (x.n_papers + y.n_papers) < 0.67 THEN 'contested' WHEN x.n_papers > y.n_papers THEN 'dominant' ELSE 'minority' END AS direction,
+   y.source IS NOT NULL AND x.source <> x.target AS reciprocal, x.source = x.target AS self_loop, CASE WHEN x.n_sentences < 2 THEN 'below_min_sentences' ELSE '' END AS drop_reason
+   FROM e0 x LEFT JOIN e0 y ON y.source = x.target AND y.target = x.source),
+cn AS (SELECT node_id, sum(c)::BIGINT AS as_cause, sum(e)::BIGINT AS as_effect FROM (SELECT source AS node_id, n_sentences AS c, 0 AS e FROM ed WHERE drop_reason = '' UNION ALL SELECT target, 0, n_sentences FROM ed WHERE drop_reason = '') GROUP BY node_id),
+dn AS (SELECT node_id, count(DISTINCT doc_id) AS n_papers FROM (SELECT pl.source AS node_id, doc_id FROM pl JOIN ed USING (source, target) WHERE drop_reason = '' UNION ALL SELECT pl.target, doc_id FROM pl JOIN ed USING (source, target) WHERE drop_reason = '') GROUP BY node_id),
+nd AS (SELECT n.node_id, n.label, n.n_members, coalesce(as_cause, 0) AS as_cause, coalesce(as_effect, 0) AS as_effect, coalesce(as_cause, 0) + coalesce(as_effect, 0) AS n_sentences, coalesce(n_papers, 0) AS n_papers,
+   CASE WHEN cn.node_id IS NULL THEN '' WHEN as_effect = 0 THEN 'cause only' WHEN as_cause = 0 THEN 'effect only' ELSE 'cause and effect' END AS role, cn.node_id IS NOT NULL AS shown
+   FROM (SELECT node_id, min(label) AS label, count(*) AS n_members FROM nm GROUP BY node_id) n LEFT JOIN cn USING (node_id) LEFT JOIN dn USING (node_id)),
+bo AS (SELECT source AS a, target AS b FROM ed WHERE drop_reason = '' UNION SELECT target, source FROM ed WHERE drop_reason = ''),
+st AS (SELECT node_id FROM nd WHERE regexp_matches(lower(label), '(^|[^a-z0-9])sleep opt')),
+h1 AS (SELECT node_id FROM st UNION SELECT b FROM bo JOIN st ON a = node_id), h2 AS (SELECT node_id FROM h1 UNION SELECT b FROM bo JOIN h1 ON a = node_id)
+"""
+SQL["causal_map_edges"] = _PLACED + "SELECT source, target, n_papers, n_sentences, n_relations, direction, reciprocal, self_loop, drop_reason, 'e' || lpad(CAST(row_number() OVER (ORDER BY first_row) AS VARCHAR), greatest(5, length(CAST(row_number() OVER (ORDER BY first_row) AS VARCHAR))::INT), '0') AS edge_id FROM ed"
+SQL["causal_map_nodes"] = _PLACED + "SELECT * FROM nd"
+SQL["causal_map_evidence"] = _PLACED + "SELECT row_id, source, target, rel_id FROM pl"
+SQL["causal_map_summary"] = _PLACED + "SELECT direction, self_loop, drop_reason, count(*) AS n_edges, sum(n_relations)::BIGINT AS n_relations FROM ed GROUP BY ALL"
+SQL["causal_map_neighbours"] = _PLACED + "SELECT node_id FROM h2"
+SQL["causal_map_papers"] = """
+SELECT doc_id, coalesce(arg_min(doi, row_id) FILTER (WHERE doi <> ''), '') AS doi, coalesce(arg_min(title, row_id) FILTER (WHERE title <> ''), '') AS title FROM relations GROUP BY doc_id"""
+
+
+# --- papers -----------------------------------------------------------------
+
+
+@query
+def papers_dois(spark, sf):
+    """DOIs of the papers, cleaned, with a safe file name and the publisher's address where its prefix has one."""
+    d = table(spark, sf, "doi_rows").select("doc_id", "file", T.clean_doi(F.trim(F.coalesce("doi", F.lit("")))).alias("doi")).distinct()
+    return D.publisher_urls(d).withColumn("safe", D.safe_name(F.col("doi")))
+
+
+@query
+def papers_summary(spark, sf):
+    """Papers by source and status, with totals."""
+    return table(spark, sf, "doi_rows").rollup("source", "status").agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_papers"))
+
+
+@query
+def document_references(spark, sf):
+    """DOIs cited in document texts and by how many documents, the paper's own left out."""
+    own = table(spark, sf, "doi_rows").where("doi <> ''").groupBy("file").agg(F.min(T.clean_doi(F.trim("doi"))).alias("doi"))
+    docs = table(spark, sf, "documents").select("doc_id", "file", "text")
+    return D.references(docs.join(own, "file", "left"))
+
+
+SQL["papers_dois"] = r"""
+WITH d AS (SELECT doc_id, file, rtrim(trim(coalesce(doi, '')), '.,;:/') AS d FROM doi_rows),
+c AS (SELECT DISTINCT doc_id, file, lower(regexp_replace(CASE WHEN len(d) - len(replace(d, ')', '')) > len(d) - len(replace(d, '(', '')) THEN rtrim(d, ')') ELSE d END, '(?i)/(?:full|abstract|pdf|epdf|fulltext|html)$', '')) AS doi FROM d),
+p AS (SELECT *, CASE WHEN split_part(doi, '/', 1) IN ('10.1007', '10.1057', '10.1186', '10.3758') THEN 'Springer' WHEN split_part(doi, '/', 1) = '10.3389' THEN 'Frontiers' END AS publisher FROM c)
+SELECT doc_id, file, doi, publisher, CASE publisher WHEN 'Springer' THEN 'https://link.springer.com/content/pdf/' || doi || '.pdf' WHEN 'Frontiers' THEN 'https://www.frontiersin.org/articles/' || doi || '/pdf' END AS url,
+regexp_replace(doi, '[^a-z0-9_-]', '_', 'g') AS safe FROM p"""
+SQL["papers_summary"] = "SELECT source, status, count(*) AS n_rows, count(DISTINCT doc_id) AS n_papers FROM doi_rows GROUP BY ROLLUP (source, status)"
+
+
+# --- concepts ---------------------------------------------------------------
+
+
+@query
+def concept_texts(spark, sf):
+    return table(spark, sf, "concepts").select("id", *(T.strategy_text(s).alias(s) for s in T.STRATEGIES))
+
+
+SQL["concept_texts"] = """
+WITH c AS (SELECT id, lower(leaf) AS leaf, lower(path) AS path, array_to_string(list_transform(parents, lambda x: lower(x)), ', ') AS par, coalesce(len(parents), 0) = 0 AS alone,
+  CASE WHEN len(alt) > 0 THEN array_to_string(list_transform(alt, lambda x: lower(x)), '; ') END AS al, CASE WHEN coalesce(note, '') <> '' THEN rtrim(lower(note), '.') END AS nt FROM concepts)
+SELECT id, leaf, path, leaf || ': ' || path AS anchor, CASE WHEN alone THEN leaf ELSE leaf || ' is related to ' || par END AS context,
+CASE WHEN alone THEN leaf ELSE leaf || ' (' || par || ')' END AS bracket, concat_ws('. ', leaf, al, nt, path) AS enriched FROM c"""
+
+
+# --- vectors ----------------------------------------------------------------
+
+#: The test vectors are spread widely, so that few pairs come nearer than this.
+THRESHOLD = 0.45
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+
+
+@query
+def vector_pairs(spark, sf):
+    return V.similar_pairs(_vectors(spark, sf), THRESHOLD).select("a", "b")
+
+
+@query
+def vector_groups_single(spark, sf):
+    return V.pairwise_grouping(_vectors(spark, sf), THRESHOLD, "single")
+
+
+@query
+def vector_groups_average(spark, sf):
+    return V.pairwise_grouping(_vectors(spark, sf), THRESHOLD, "average")
+
+
+@query
+def vector_groups_complete(spark, sf):
+    return V.pairwise_grouping(_vectors(spark, sf), THRESHOLD, "complete")
+
+
+@query
+def vector_groups_density(spark, sf):
+    return V.density_grouping(_vectors(spark, sf))
+
+
+@query
+def vector_medoids(spark, sf):
+    v = _vectors(spark, sf)
+    return V.medoids(v.select("vec_id", "embedding"), v.select("vec_id", F.col("label").cast("long").alias("group_id")))
+
+
+@query
+def vector_nearest(spark, sf):
+    """The ten nearest vectors of every vector whose id is divisible by 100, against all."""
+    v = _vectors(spark, sf)
+    return V.nearest(v.where("vec_id % 100 = 0"), v, 10).select("vec_id", "rank", "neighbour")
+
+
+_DOT = "list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))"
+_PAIRS = f"pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {_DOT} >= {THRESHOLD})"
+SQL["vector_pairs"] = f"WITH {_PAIRS} SELECT a, b FROM pr"
+SQL["vector_groups_single"] = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT vec_id AS v, vec_id AS u FROM embeddings UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a) SELECT v AS vec_id, min(u) AS group_id FROM r GROUP BY v"
+SQL["vector_medoids"] = f"WITH s AS (SELECT x.label AS g, x.vec_id, sum({_DOT}) AS score FROM embeddings x JOIN embeddings y USING (label) GROUP BY x.label, x.vec_id) SELECT CAST(g AS BIGINT) AS group_id, count(*) AS size, min_by(vec_id, (-round(score, 6), vec_id)) AS central_id FROM s GROUP BY g".replace("USING (label)", "ON x.label = y.label")
+SQL["vector_nearest"] = f"SELECT x.vec_id, CAST(row_number() OVER (PARTITION BY x.vec_id ORDER BY round({_DOT}, 9) DESC, y.vec_id) AS INTEGER) AS rank, y.vec_id AS neighbour FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0 QUALIFY rank <= 10"
