@@ -119,7 +119,7 @@ def z_scores(stats: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def classify(z: DataFrame) -> DataFrame:
-    """Adds ``doc_class``: ``list``, ``table``, ``junk``, or ``prose`` for documents that aren't in the tails."""
+    """Adds ``doc_class``: ``list``, ``table``, ``junk``, or ``prose`` for documents that aren't in the tails.  An empty document is in no class but prose."""
     c = F.col
     far = c("z_common_share") < -3.0
     junk = (
@@ -135,7 +135,7 @@ def classify(z: DataFrame) -> DataFrame:
     )
     table = far & (c("column_share") >= 0.6) & (c("z_digit_ratio") > 2) & (c("n_lines") >= 3)
     listed = far & ((c("entry_share") >= 0.9) | (c("entry_share") >= 0.7) & (c("line_end_share") <= 0.05)) & (c("n_lines") >= 4)
-    return z.withColumn("doc_class", F.when(table, "table").when(junk, "junk").when(listed, "list").otherwise("prose"))
+    return z.withColumn("doc_class", F.when(c("n_lines") == 0, "prose").when(table, "table").when(junk, "junk").when(listed, "list").otherwise("prose"))
 
 
 def document_quality(docs: DataFrame) -> DataFrame:
