@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
 from claimloom.operators.ranks import global_rank
+from claimloom.scratch import Scratch
 
 MIN_SHARE = 0.67
 
@@ -73,9 +74,10 @@ def build_edges(relations: DataFrame, names: DataFrame, min_papers: int = 1, min
     sent = F.coalesce("sent_id", "rel_id")
     # first by sentence and paper, so that no distinct set of a large edge sits in one task
     by = r.groupBy("source", "target", sent.alias("_s"), "doc_id").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
+    by = Scratch(relations.sparkSession, "edges").cut(by, "by")
     n_sent = by.groupBy("source", "target", "_s").agg(F.sum("n").alias("n"), F.min("first").alias("first")).groupBy("source", "target").agg(F.sum("n").alias("n_relations"), F.count("_s").alias("n_sentences"), F.min("first").alias("first_row"))
     n_doc = by.groupBy("source", "target", "doc_id").agg(F.lit(1).alias("one")).groupBy("source", "target").agg(F.count("doc_id").alias("n_papers"))
-    e = n_sent.join(n_doc, ["source", "target"])
+    e = Scratch(relations.sparkSession, "edges").cut(n_sent.join(n_doc, ["source", "target"]), "edges")
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("n_papers").alias("_back"))
     e = e.join(back, ["source", "target"], "left").withColumn("self_loop", F.col("source") == F.col("target"))
     two = F.col("_back").isNotNull() & ~F.col("self_loop")

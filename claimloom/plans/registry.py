@@ -14,6 +14,7 @@ from claimloom.operators import extract as X
 from claimloom.operators import harvest as H
 from claimloom.operators import labels as L
 from claimloom.operators import vectors as V
+from claimloom.scratch import Scratch
 
 FLAGSHIP = "causal_map_edges"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,7 +226,8 @@ SELECT f.key, f.central, f.size, CASE WHEN f.size = 1 THEN f.span ELSE f.central
 
 def _map(spark: SparkSession, sf: str) -> M.CausalMap:
     relations = table(spark, sf, "relations")
-    return M.causal_map(relations, M.concept_names(M.collect_spans(relations), table(spark, sf, "concepts")))
+    names = M.concept_names(M.collect_spans(relations), table(spark, sf, "concepts"))
+    return M.causal_map(relations, Scratch(spark, "map").cut(names, "names"))
 
 
 @query
