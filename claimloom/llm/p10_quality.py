@@ -1,8 +1,9 @@
 """Problem 10: per-document text statistics, and the documents they show to be no natural prose.
 
 Each statistic gets a mergeable quantile sketch per language.  Values are turned
-into robust z-scores (distance from the median in units of the quartile range),
-and documents in the far tails are flagged and named by the tails they lie in.
+into robust z-scores, and documents in the far tails are flagged and named by the
+tails they lie in.  Middle and scale are read off the side of a statistic on which
+no lists, tables or junk lie, so that many of them don't hide one another.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ CONTROLS = "log in|log out|sign in|sign up|register|home|menu|search|share|cite|
 
 #: Least scale of each statistic, so that a corpus of much the same texts doesn't make every other text extreme.
 LEAST_SCALE = {"mean_word": 0.2, "symbol_ratio": 0.005, "line_end_share": 0.02, "common_share": 0.01, "digit_ratio": 0.005, "vowel_ratio": 0.01, "variety": 0.3, "entry_share": 0.02, "column_share": 0.02}
+#: The side of each statistic that is prose: above its middle, below it, or whichever is narrower (non-prose lies on both sides).
+PROSE_SIDE = {"mean_word": "narrow", "symbol_ratio": "below", "line_end_share": "above", "common_share": "above", "digit_ratio": "below", "vowel_ratio": "above", "variety": "narrow", "entry_share": "below", "column_share": "below"}
 STATS = ("mean_word", "symbol_ratio", "line_end_share", "common_share", "digit_ratio", "vowel_ratio", "variety", "entry_share", "column_share")
 
 
@@ -54,7 +57,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """Statistics of ``(doc_id, text, lang)``: one row per row, computed in the JVM over the whole text.
 
     NULL texts count as empty; an empty text has 0 words and zeros everywhere.
-    Language codes are compared without case; a missing one is ''.
+    Language codes are compared without case; a missing one becomes that of COMMON
+    whose words the text has most of, or '' if it has none.
     """
     common = sorted({w for words in COMMON.values() for w in words.split()})
     controls = CONTROLS.split("|")
@@ -79,15 +83,19 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         cells = F.size(F.split(x, r"\t| {3,}|; | \| |\||, "))
         return (F.length(x) <= ROW_CHARS) & (cells >= 3) & (F.length(F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz ", "")) >= 0.4 * F.length(F.translate(x, " ", "")))
 
+    def among(words: list[str]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*words)))
+
+    most = F.array_max(F.array(*(F.struct(among(words.split()).alias("n"), F.lit(lang).alias("lang")) for lang, words in COMMON.items())))
     return t.select(
         "doc_id",
-        "lang",
+        F.when(F.col("lang") != "", F.col("lang")).otherwise(F.when(most["n"] > 0, most["lang"]).otherwise("")).alias("lang"),
         n_words.alias("n_words"),
         n_lines.alias("n_lines"),
         _share(alnum, n_words).alias("mean_word"),
         _share(solid - alnum, solid).alias("symbol_ratio"),
         _share(F.size(F.filter(lines, ends)), n_lines).alias("line_end_share"),
-        _share(F.size(F.filter(w, lambda x: x.isin(*common))), n_words).alias("common_share"),
+        _share(among(common), n_words).alias("common_share"),
         _share(once - F.length(F.translate("once", "0123456789", "")), once).alias("digit_ratio"),
         _share(once - F.length(F.translate("once", "aeiouyáéíóúàèìòùâêîôûäëïöüœæ", "")), once).alias("vowel_ratio"),
         _share(F.size("kinds").cast("double"), F.sqrt(n_words)).alias("variety"),
@@ -99,14 +107,35 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def _fit(q: Column, side: str, least: float) -> Column:
+    """Middle and scale of a normal distribution through two quantiles of one side.
+
+    ``q`` holds the quantiles 0.1, 0.25, 0.75 and 0.9.  With the two on the prose
+    side, up to about two thirds of the documents may lie in the other tail.
+    """
+    if side == "narrow":
+        above, below = _fit(q, "above", least), _fit(q, "below", least)
+        return F.when(above["scale"] <= below["scale"], above).otherwise(below)
+    near, far, sign = (q[2], q[3], -1) if side == "above" else (q[1], q[0], 1)
+    scale = F.abs(far - near) / (1.2816 - 0.6745)
+    return F.struct((near + sign * 0.6745 * scale).alias("middle"), F.greatest(scale, F.lit(least)).alias("scale"))
+
+
 def language_sketches(stats: DataFrame) -> DataFrame:
-    """Median and quartile range of every statistic per frequent language, and for all documents as language ``*``."""
+    """Middle and scale of every statistic per frequent language, and for all documents as language ``*``.
+
+    Documents of no known language have no sketch of their own.  Nor has one of COMMON whose
+    documents as a whole lie far below all others in common words: they are mostly no prose.
+    """
     total = stats.count()
-    counts = stats.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stats.where("lang <> ''").groupBy("lang").agg(F.count("*").alias("n"))
     frequent = [r["lang"] for r in counts.where(F.col("n") >= max(30, LANGUAGE_SHARE * total)).collect()]
     groups = stats.where("n_words > 0").withColumn("sketch", F.explode(F.array_compact(F.array(F.lit("*"), F.when(F.col("lang").isin(*frequent, "\u0000"), F.col("lang"))))))
-    got = groups.groupBy("sketch").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], ACCURACY).alias(s) for s in STATS))
-    return got.select("sketch", *(F.struct(F.col(s)[1].alias("median"), F.greatest((F.col(s)[2] - F.col(s)[0]) / 1.349, F.lit(LEAST_SCALE[s])).alias("scale")).alias(f"q_{s}") for s in STATS))
+    got = groups.groupBy("sketch").agg(*(F.percentile_approx(s, [0.1, 0.25, 0.75, 0.9], ACCURACY).alias(s) for s in STATS))
+    got = got.select("sketch", *(_fit(F.col(s), PROSE_SIDE[s], LEAST_SCALE[s]).alias(f"q_{s}") for s in STATS))
+    every = got.where("sketch = '*'").select(F.col("q_common_share").alias("a"))
+    lost = F.substring("sketch", 1, 2).isin(*COMMON) & ((F.col("q_common_share")["middle"] - F.col("a")["middle"]) / F.col("a")["scale"] < -3.0)
+    return got.crossJoin(F.broadcast(every)).where(~lost).drop("a")
 
 
 def z_scores(stats: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -115,13 +144,14 @@ def z_scores(stats: DataFrame, sketches: DataFrame) -> DataFrame:
     every = F.broadcast(sketches.where("sketch = '*'").select(*(F.col(f"q_{s}").alias(f"a_{s}") for s in STATS)))
     j = stats.join(own, "lang", "left").join(every, F.lit(True), "left")
     q = {s: F.coalesce(F.col(f"q_{s}"), F.col(f"a_{s}")) for s in STATS}
-    return j.select(*stats.columns, *(((F.col(s) - q[s]["median"]) / q[s]["scale"]).alias(f"z_{s}") for s in STATS))
+    return j.select(*stats.columns, *(((F.col(s) - q[s]["middle"]) / q[s]["scale"]).alias(f"z_{s}") for s in STATS))
 
 
 def classify(z: DataFrame) -> DataFrame:
     """Adds ``doc_class``: ``list``, ``table``, ``junk``, or ``prose`` for documents that aren't in the tails.  An empty document is in no class but prose."""
     c = F.col
-    far = c("z_common_share") < -3.0
+    # 3 units of the quartile range, in which the non-prose of sf0.1 has a part, are 3.6 of the prose side
+    far = c("z_common_share") < -3.6
     junk = (
         (c("n_words") == 0) & (c("n_lines") > 0)
         | (c("z_vowel_ratio") < -8) & (c("digit_ratio") < 0.15) & far

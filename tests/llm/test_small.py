@@ -277,3 +277,22 @@ def test_quality(spark):
     assert all(got[i] == "prose" for i in range(30))
     assert [got[i] for i in range(30, 37)] == ["list", "table", "junk", "junk", "junk", "prose", "prose"]
     assert p10.document_quality(docs(spark, []).where("false")).count() == 0
+
+
+PROSE_WORDS = "group lines house people river study model result effect sample".split()
+
+
+def _prose(rng):
+    return " ".join(w for _ in range(40) for w in (rng.choice(p10.COMMON["en"].split()), rng.choice(PROSE_WORDS), *rng.sample(["and", "shyness", "quiet", "measured"], rng.randint(1, 2)))) + "."
+
+
+@pytest.mark.parametrize("share", [1 / 3, 0.6])
+def test_quality_with_many_lists_and_tables(spark, share):
+    rng = random.Random(5)
+    kinds = ["list" if k % 2 else "table" for k in range(int(120 * share))]
+    make = {"list": lambda: "\n".join(f"- {rng.choice(PROSE_WORDS)} {rng.choice(PROSE_WORDS)}" for _ in range(9)), "table": lambda: "\n".join(f"v{i}\t{rng.random():.2f}\t{rng.random():.2f}" for i in range(9))}
+    texts = [make[k]() for k in kinds] + [_prose(rng) for _ in range(120 - len(kinds))]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, make["list"](), "") for i in range(40)] + [(2000 + i, make["list"](), "fr") for i in range(30)] + [(3000 + i, _prose(rng), "") for i in range(150)]
+    got = {r["doc_id"]: r["doc_class"] for r in p10.document_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i] for i in range(120)] == kinds + ["prose"] * (120 - len(kinds))
+    assert all(got[i] == ("prose" if i >= 3000 else "list") for i in got if i >= 1000)
