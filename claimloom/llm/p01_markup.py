@@ -5,14 +5,15 @@ are markup and which only look like it, and further cuts decide between two
 languages that could both have written one.  Terminal capacities are the costs
 of a classifier over the construct's form; smoothness edges join constructs
 that stand near each other or inside the same element or environment.  The
-constructs left as markup are then taken out, and headings, lists, code and
-formulas are kept in one plain notation.
+constructs left as markup are then rewritten, each by its kind and nothing else:
+headings, lists, code and formulas are kept in one plain notation.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -252,100 +253,291 @@ def languages(text: str) -> list[str]:
 _BLOCKS = re.compile(r"</?(?:p|div|section|article|header|footer|nav|table|tr|ul|ol|dl|blockquote|figure|html|head|body|center|form|main|aside|tbody|thead)\b[^<>]*>|<(?:br|hr)\b[^<>]*>", re.IGNORECASE)
 
 
-def _clean_html(t: str) -> str:
-    t = re.sub(r"<(script|style)\b[^<>]*>.*?</\1>", "", t, flags=re.IGNORECASE | re.DOTALL)
-    t = _COMMENT.sub("", t)
-    t = re.sub(r"<(pre|code)\b[^<>]*>(.*?)</\1>", lambda m: _code(re.sub(r"</?code[^<>]*>", "", m.group(2), flags=re.IGNORECASE)) if "\n" in m.group(2) or m.group(1).lower() == "pre" else m.group(2), t, flags=re.IGNORECASE | re.DOTALL)
-    t = re.sub(r"<(h[1-6]|title)\b[^<>]*>(.*?)</\1>", r"\n# \2\n", t, flags=re.IGNORECASE | re.DOTALL)
-    t = re.sub(r"<li\b[^<>]*>", "\n- ", t, flags=re.IGNORECASE)
-    t = re.sub(r"</t[dh]>\s*<t[dh]\b[^<>]*>", " | ", t, flags=re.IGNORECASE)
-    t = _BLOCKS.sub("\n", t)
-    t = _TAG.sub(lambda m: "" if m.group("h") else m.group(), t)
-    return html.unescape(t)
-
-
 def _code(body: str) -> str:
     return "\n" + "\n".join("    " + x for x in body.strip("\n").split("\n")) + "\n"
 
 
-def _clean_wiki(t: str) -> str:
-    t = re.sub(r"<(?:syntaxhighlight|source)\b[^<>]*>(.*?)</(?:syntaxhighlight|source)>", lambda m: _code(m.group(1)), t, flags=re.IGNORECASE | re.DOTALL)
-    t = re.sub(r"<(?:math|chem)\b[^<>]*>(.*?)</(?:math|chem)>", r"$\1$", t, flags=re.IGNORECASE | re.DOTALL)
-    t = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|<references\s*/?>", "", t, flags=re.IGNORECASE | re.DOTALL)
-    t = re.sub(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]\n?", "", t, flags=re.IGNORECASE)
-    # "Topic:word|see" shows a word of the sentence as its target
-    t = re.sub(r"\[\[(?:[^\[\]|:\n]+:)([^\[\]|\n]+)\|[^\[\]\n]*\]\]", r"\1", t)
-    t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", r"\1", t)
-    t = re.sub(r"\{\{term\|([^{}|\n]+)\}\}", r"\1", t)
-    t = _TEMPLATE.sub("", t)
-    t = re.sub(r"^(={2,6})[ \t]*(.*?)[ \t]*\1[ \t]*$", r"# \2", t, flags=re.MULTILINE)
-    t = _MAGIC.sub("", t)
-    t = re.sub(r"^\{\|.*\n?|^\|\}[ \t]*\n?|^\|-.*\n?", "", t, flags=re.MULTILINE)
-    t = re.sub(r"^\|[ \t]*([^|\n]+(?:\|\|[^\n]*)?)$", lambda m: m.group(1).replace("||", "|"), t, flags=re.MULTILINE)
-    t = re.sub(r"'{2,5}(?=[^'\s])([^'\n]+?)'{2,5}", r"\1", t)
-    return _TAG.sub(lambda m: "" if m.group("w") else m.group(), t)
-
-
-def _clean_markdown(t: str, listing: bool) -> str:
-    t = _FENCE.sub(lambda m: _code(re.sub(r"^(?:```|~~~)[^\n]*\n?|\n?(?:```|~~~)[ \t]*$", "", m.group())), t)
-    t = _SETEXT.sub(r"# \g<t>", t)
-    if not listing:
-        t = re.sub(r"^#{1,6}[ \t]+", "# ", t, flags=re.MULTILINE)
-    t = re.sub(r"!\[([^\[\]\n]*)\]\([^()\s]+\)", r"\1", t)
-    t = re.sub(r"\[([^\[\]\n]*)\]\([^()\s]+(?: \"[^\"\n]*\")?\)", r"\1", t)
-    t = _FOOTNOTE.sub("", t)
-    t = _MD_TABLE.sub("", t)
-    t = re.sub(r"^> ?", "", t, flags=re.MULTILINE)
-    for p in (_EMPHASIS, _BOLD):
-        t = p.sub(lambda m: m.group().strip("*_"), t)
-    t = re.sub(r"\$\$([^$]{1,400}?)\$\$", r"$\1$", t)
-    return _TICK.sub(lambda m: m.group().strip("`"), t)
-
-
-def _clean_latex(t: str) -> str:
-    t = re.sub(r"^%.*\n?", "", t, flags=re.MULTILINE)
-    t = re.sub(r"\\(?:chapter|(?:sub)*section|paragraph|title)\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\n# \1\n", t)
-    t = re.sub(r"^[ \t]*\\item(?:\[[^\]]*\])?[ \t]*", "- ", t, flags=re.MULTILINE)
-    t = re.sub(r"~?\\(?:cite\w*|footnote|label|ref|eqref|pageref|documentclass|usepackage|bibliography\w*|input)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", t)
-    t = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?(?:\[[^\]]*\])?", "", t)
-    t = re.sub(r"\\\[(.*?)\\\]|\\\((.*?)\\\)", lambda m: "$" + (m.group(1) or m.group(2)).strip() + "$", t, flags=re.DOTALL)
-    kept: list[str] = []
-
-    def keep(m: re.Match) -> str:
-        kept.append(m.group())
-        return f"\x00{len(kept) - 1}\x00"
-
-    t = re.sub(r"\\([$&%#_{}])", r"\1", re.sub(r"(?<![\\\w])\$(?=[^\s\d$])[^$\n]{0,200}?[^\s$]\$", keep, t).replace("\\$", "\x01")).replace("\x01", "$")
-    for _ in range(3):
-        t = re.sub(r"\\(?:emph|text\w+|underline|textsc|mbox|href\{[^{}]*\}|url)\*?\{([^{}]*)\}", r"\1", t)
-    t = re.sub(r"[ \t]*\\\\[ \t]*$", "", t, flags=re.MULTILINE)
-    t = re.sub(r"\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*[ \t]?", "", t)
-    t = re.sub(r"(?<=\S)~(?=\S)", " ", t)
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], t)
+_PAIRED = frozenset("script style ref pre syntaxhighlight source code nowiki math chem".split())
+# What LaTeX commands and environments do with their argument.
+_HEADS = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph|title)\*?(?:\[|$)")
+_DROPPED = re.compile(r"\\(?:[a-z]*cite\w*|footnote|label|ref|eqref|pageref|documentclass|usepackage|bibliography\w*|input)\*?(?:\[|$)")
+_KEPT = re.compile(r"\\(?:emph|text\w+|underline|mbox|url)\*?(?:\[|$)")
+_ENVIRONMENT = re.compile(r"\\(begin|end)(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
+_MATHS = frozenset("equation align gather multline displaymath math eqnarray flalign alignat".split())
+_VERBATIM = frozenset("verbatim Verbatim lstlisting minted alltt".split())
+#: Formulas of LaTeX of any length, also over several lines of one paragraph.
+_LONG_FORMULA = re.compile(r"(?<![\\\w$])\$(?=[^\s$])(?:[^$\n\\]|\\.|\n(?![ \t]*\n))+?(?<=[^\s\\])\$(?![\w$])", re.DOTALL)
+_BULLET = re.compile(r"^[*#:;]+(?=[ \t]+\S)", re.MULTILINE)
+_TIE = re.compile(r"(?<=\S)~(?=\S)")
+
+
+def _argument(t: str, at: int) -> int:
+    """End of the braced argument that opens at ``at``; ``at`` if none does or it isn't closed."""
+    if t[at : at + 1] != "{":
+        return at
+    depth, i = 0, at
+    while i < len(t):
+        if t[i] == "\\":
+            i += 1
+        elif t[i] == "{":
+            depth += 1
+        elif t[i] == "}":
+            depth -= 1
+            if not depth:
+                return i + 1
+        i += 1
+    return at
+
+
+class Rewrite:
+    """Edits of a text, one construct at a time; what stands in code, formulas or deleted parts is left alone."""
+
+    def __init__(self, t: str, read: str, marks: list[tuple[Mark, str]]):
+        self.t, self.read, self.marks = t, read, marks
+        self.starts = [m.start for m, _ in marks]
+        self.edits: list[tuple[int, int, str]] = []
+        #: 1 for characters of parts that stay as they are or come out by one edit, 2 behind their first
+        self.solid = bytearray(len(t))
+
+    def put(self, a: int, b: int, new: str = "") -> None:
+        self.edits.append((a, b, new))
+
+    def whole(self, a: int, b: int, new: str | None = None) -> None:
+        """Part a..b comes out as ``new``, or as it is."""
+        if not self.inside(a):
+            self.solid[a:b] = b"\x02" * (b - a)
+            self.solid[a] = 1
+            self.edits.append((a, b, self.t[a:b] if new is None else new))
+
+    def inside(self, at: int) -> bool:
+        return self.solid[at] > 0
+
+    def language_near(self, at: int) -> str:
+        """Language of the nearest construct."""
+        i = bisect_left(self.starts, at)
+        near = self.marks[max(0, i - 1) : i + 1]
+        return min(near, key=lambda x: max(x[0].start - at, at - x[0].end))[1]
+
+    def line(self, m: Mark) -> tuple[int, int]:
+        """The construct with its line end."""
+        return m.start, m.end + (self.read[m.end : m.end + 1] == "\n")
+
+    def text(self) -> str:
+        out, at = [], 0
+        for a, b, new in sorted(self.edits, key=lambda e: (e[0], -e[1])):
+            # an insertion may stand at the end of the edit before
+            if a < at or a < len(self.t) and self.solid[a] == 2:
+                continue
+            out += (self.t[at:a], new)
+            at = b
+        return "".join([*out, self.t[at:]])
+
+    # one construct of each kind
+
+    def tag(self, m: Mark, language: str) -> None:
+        s = self.read[m.start : m.end]
+        name = re.match(r"</?(\w+)", s)
+        if not name:
+            return self.put(m.start, m.end)
+        name, closing, empty = name.group(1).lower(), s[1] == "/", s.endswith("/>")
+        end = None if closing or empty or name not in _PAIRED else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(self.read, m.end)
+        if end and name in ("script", "style", "ref"):
+            return self.whole(m.start, end.end(), "")
+        if end and name in ("pre", "syntaxhighlight", "source") or end and name == "code" and "\n" in self.t[m.end : end.start()]:
+            body = re.sub(r"</?code[^<>]*>", "", self.t[m.end : end.start()], flags=re.IGNORECASE)
+            return self.whole(m.start, end.end(), _code(body if name in ("syntaxhighlight", "source") else html.unescape(body)))
+        if end and name in ("code", "nowiki"):
+            return self.whole(m.start, end.end(), html.unescape(self.t[m.end : end.start()]))
+        if end and name in ("math", "chem"):
+            return self.whole(m.start, end.end(), "$" + self.t[m.end : end.start()].strip() + "$")
+        if name == "title" or re.fullmatch("h[1-6]", name):
+            return self.put(m.start, m.end, "\n" if closing else "\n# ")
+        if name == "li":
+            return self.put(m.start, m.end, "" if closing else "\n- ")
+        if name in ("td", "th") and not closing and (before := re.search(r"</t[dh]>\s*$", self.read[max(0, m.start - 200) : m.start], re.IGNORECASE)):
+            return self.put(m.start - len(before.group()), m.end, " | ")
+        self.put(m.start, m.end, "\n" if _BLOCKS.fullmatch(s) else "")
+
+    def entity(self, m: Mark, language: str) -> None:
+        self.put(m.start, m.end, html.unescape(self.read[m.start : m.end]))
+
+    def link(self, m: Mark, language: str) -> None:
+        s = self.read[m.start : m.end]
+        if s.startswith("[["):
+            if re.match(r"\[\[(?:Category|File|Image):", s, re.IGNORECASE):
+                return self.put(*self.line(m))
+            bar = s.find("|")
+            if bar > 0 and ":" in s[:bar]:
+                # "Topic:word|see" shows a word of the sentence as its target
+                self.put(m.start, m.start + s.index(":") + 1)
+                return self.put(m.start + bar, m.end)
+            self.put(m.start, m.start + (s.rfind("|") + 1 if bar > 0 else 2))
+            return self.put(m.end - 2, m.end)
+        if "](" in s:
+            self.put(m.start, m.start + 1 + (s[0] == "!"))
+            return self.put(m.start + s.rindex("]("), m.end)
+        self.put(m.start, m.start + s.index(" ") + 1)
+        self.put(m.end - 1, m.end)
+
+    def note(self, m: Mark, language: str) -> None:
+        self.put(m.start, m.end)
+
+    magic = note
+
+    def template(self, m: Mark, language: str) -> None:
+        shown = re.fullmatch(r"\{\{term\|([^{}|\n]+)\}\}", self.read[m.start : m.end])
+        self.whole(m.start, m.end, self.t[m.start + shown.start(1) : m.start + shown.end(1)] if shown else "")
+
+    def heading(self, m: Mark, language: str) -> None:
+        s = self.read[m.start : m.end]
+        self.put(m.start, m.start + re.match(r"[#=]+[ \t]*", s).end(), "# ")
+        if s[0] == "=":
+            self.put(m.start + re.search(r"[ \t]*=+[ \t]*$", s).start(), m.end)
+
+    def list(self, m: Mark, language: str) -> None:
+        if language == "wiki":
+            self.put(m.start, m.start + 1, "-")
+
+    def underline(self, m: Mark, language: str) -> None:
+        self.put(*(2 * [self.read.rfind("\n", 0, m.start - 1) + 1]), "# ")
+        self.put(m.start - 1, m.end)
+
+    def emphasis(self, m: Mark, language: str) -> None:
+        s = self.read[m.start : m.end]
+        n = min(len(s) - len(s.lstrip(s[0])), len(s) - len(s.rstrip(s[0])))
+        self.put(m.start, m.start + n)
+        self.put(m.end - n, m.end)
+
+    def code(self, m: Mark, language: str) -> None:
+        s = self.t[m.start : m.end]
+        if s[:3] in ("```", "~~~"):
+            self.whole(m.start, m.end, _code(re.sub(r"^(?:```|~~~)[^\n]*\n?|\n?(?:```|~~~)[ \t]*$", "", s)))
+        else:
+            self.whole(m.start, m.end, s.strip("`"))
+
+    def table(self, m: Mark, language: str) -> None:
+        s = self.read[m.start : m.end]
+        if s[:2] in ("{|", "|}", "|-") or _MD_TABLE.match(s):
+            self.put(*self.line(m))
+        elif language == "wiki":
+            self.put(m.start, m.start + 1 + (s[1:2] in (" ", "\t")))
+            for x in re.finditer(r"\|\|", s):
+                self.put(m.start + x.start(), m.start + x.end(), "|")
+
+    def quote(self, m: Mark, language: str) -> None:
+        self.put(m.start, m.start + 1 + (self.read[m.start + 1 : m.start + 2] == " "))
+
+    def formula(self, m: Mark, language: str) -> None:
+        s = self.t[m.start : m.end]
+        n = 2 if s[:2] in ("$$", "\\[", "\\(") else 1
+        self.whole(m.start, m.end, "$" + s[n:-n].strip() + "$")
+
+    def comment(self, m: Mark, language: str) -> None:
+        self.put(*self.line(m))
+
+    def environment(self, m: Mark) -> bool:
+        """Environments of formulas and code, as a whole."""
+        head = _ENVIRONMENT.match(self.read, m.start)
+        if not head or head.group(1) != "begin":
+            return False
+        name = head.group(2)
+        plain = name.rstrip("*")
+        end = self.read.find(f"\\end{{{name}}}", head.end())
+        if end < 0 or plain not in _MATHS and plain not in _VERBATIM and plain != "comment":
+            return False
+        body, stop = self.t[head.end() : end], end + len(name) + 6
+        if plain in _VERBATIM:
+            self.whole(m.start, stop, _code(re.sub(r"^(?:\[[^\]\n]*\]|\{[^{}\n]*\})+[ \t]*(?=\n)", "", body)))
+        else:
+            body = re.sub(r"\\(?:label|tag)\*?\{[^{}]*\}|\\(?:nonumber|notag)\b", "", body)
+            self.whole(m.start, stop, "" if plain == "comment" else "$" + body.strip() + "$")
+        return True
+
+    def command(self, m: Mark, language: str) -> None:
+        t, s = self.read, self.read[m.start : m.end]
+        if not s[1].isalpha():
+            at = m.start
+            if s == "\\\\":
+                while at and t[at - 1] in " \t":
+                    at -= 1
+            return self.put(at, m.end, "" if s[:2] == "\\\\" else s[1:])
+        head = _ENVIRONMENT.match(t, m.start)
+        if head:
+            end = head.end()
+            while t[end : end + 1] in ("{", "["):
+                more = re.compile(r"\{[^{}\n]*\}|\[[^\]\n]*\]").match(t, end)
+                if not more or head.group(1) == "end":
+                    break
+                end = more.end()
+            return self.put(m.start, end)
+        end = _argument(t, m.end)
+        name = re.match(r"\\[a-zA-Z]+", s).group()
+        if name == "\\item":
+            at = m.start
+            while at and t[at - 1] in " \t":
+                at -= 1
+            return self.put(at if not at or t[at - 1] == "\n" else m.start, re.compile(r"[ \t]*").match(t, m.end).end(), "- ")
+        if end > m.end and _HEADS.match(s):
+            self.put(m.start, m.end + 1, "\n# ")
+            return self.put(end - 1, end, "\n")
+        if end > m.end and _DROPPED.match(s):
+            return self.whole(m.start - (t[m.start - 1 : m.start] == "~"), end, "")
+        if end > m.end and name == "\\href" and (last := _argument(t, end)) > end:
+            self.put(m.start, end + 1)
+            return self.put(last - 1, last)
+        if end > m.end and _KEPT.match(s):
+            self.put(m.start, m.end + 1)
+            return self.put(end - 1, end)
+        while (more := _argument(t, end)) > end:
+            end = more
+        self.whole(m.start, end + (t[end : end + 1] in (" ", "\t")), "")
 
 
 def clean_text(text: str) -> tuple[str, list[str]]:
     """(text without markup, languages found).
 
-    Headings come out as lines ``# heading``, list items as ``- item``, code
-    indented by four spaces, formulas between single dollar signs.  A text
-    without markup comes out as it is; '' stays ''.
+    Only constructs that the cut took for markup are rewritten, each by its kind
+    and language.  Headings come out as lines ``# heading``, list items as
+    ``- item``, code indented by four spaces, formulas between single dollar
+    signs.  A text without markup comes out as it is; '' stays ''.
     """
-    found = languages(text)
+    t = fold(text)
+    read = skeleton(t)
+    if len(read) != len(t):
+        # a letter whose Latin reading is longer: places must agree
+        read = "".join(x if len(x) == 1 else c for c, x in ((c, skeleton(c)) for c in t))
+    marks = label_marks(read, find_marks(read))
+    found = sorted({x for _, x in marks})
     if not found:
         return text, found
-    t = fold(text)
+    r = Rewrite(t, read, marks)
+    # code and formulas first: what stands in them is no construct of its own
+    for m, language in marks:
+        if m.kind == "code" or m.kind == "command" and r.environment(m):
+            r.inside(m.start) or getattr(r, m.kind)(m, language)
+        elif m.kind == "tag" and re.match(r"<(?:pre|code|nowiki|syntaxhighlight|source|script|style|ref|math|chem)\b", read[m.start : m.end], re.IGNORECASE):
+            r.tag(m, language)
+    for m, language in marks:
+        if m.kind == "formula" and not r.inside(m.start):
+            r.formula(m, language)
     if "latex" in found:
-        t = _clean_latex(t)
+        commands = [m for m, x in marks if x == "latex" and m.kind == "command" and read[m.start + 1].isalpha() and not _KEPT.match(read[m.start : m.end]) and not _DROPPED.match(read[m.start : m.end])]
+        for x in _LONG_FORMULA.finditer(read):
+            if not r.inside(x.start()) and any(x.start() < m.start < x.end() for m in commands):
+                r.whole(*x.span())
+    for m, language in marks:
+        if m.kind != "formula" and not r.inside(m.start):
+            getattr(r, m.kind)(m, language)
     if "wiki" in found:
-        t = re.sub(r"^[#*:;]+[ \t]+(?=\S)", "- ", _clean_wiki(t), flags=re.MULTILINE) if "markdown" not in found else _clean_wiki(t)
-        t = re.sub(r"^- (?=[A-Z].*\n\n)", "# ", t, flags=re.MULTILINE) if "markdown" not in found else t
-    if "markdown" in found:
-        t = _clean_markdown(t, "wiki" in found)
-    if "html" in found:
-        t = _clean_html(t)
-    t = re.sub(r"[ \t]+$", "", t, flags=re.MULTILINE)
-    return re.sub(r"\n{3,}", "\n\n", t).strip("\n"), found
+        for x in _BULLET.finditer(read):
+            if not r.inside(x.start()) and r.language_near(x.start()) == "wiki":
+                r.put(*x.span(), "-")
+    if "latex" in found:
+        for x in _TIE.finditer(read):
+            if not r.inside(x.start()) and r.language_near(x.start()) == "latex":
+                r.put(*x.span(), " ")
+    out = re.sub(r"[ \t]+$", "", r.text(), flags=re.MULTILINE)
+    return re.sub(r"\n{3,}", "\n\n", out).strip("\n"), found
 
 
 def document_markup(docs: DataFrame) -> DataFrame:

@@ -67,6 +67,21 @@ def test_markup_clean(spark):
     assert p1.document_markup(docs(spark, []).where("false")).count() == 0
 
 
+def test_markup_clean_rewrites_only_what_was_found():
+    far = "The people said so. " * 250
+    assert p1.clean_text(f"It is \\emph{{so}}. {far}\n% of all people agree.")[0].endswith("\n% of all people agree.")
+    assert p1.clean_text("\\section{T}\n% todo\nIt is \\emph{so}.")[0] == "# T\n\nIt is so."
+    equation = "\\section{T}\nWe see\n\\begin{equation}\n\\label{e}\ny = \\frac{1}{2} x_i\n\\end{equation}\nhere."
+    assert p1.clean_text(equation)[0] == "# T\n\nWe see\n$y = \\frac{1}{2} x_i$\nhere."
+    assert p1.clean_text("\\section{T}\n\\begin{verbatim}\nf \\emph{x} % no\n  g\n\\end{verbatim}\nend")[0] == "# T\n\n    f \\emph{x} % no\n      g\n\nend"
+    for formula in ("$2\\alpha + 1$", "$" + "\\beta + " * 40 + "1$", "$\\alpha\n+ \\gamma$"):
+        assert p1.clean_text(f"\\section{{T}}\nIt is \\emph{{so}}: {formula}, about \\$5.")[0] == f"# T\n\nIt is so: {formula}, about $5."
+    assert p1.clean_text("== T ==\nA [[x|y]]<ref>n</ref> <nowiki>[[z]]</nowiki> {{t}}.\n* one\n# two")[0] == "# T\nA y [[z]] .\n- one\n- two"
+    assert p1.clean_text("# T\n\n```py\n**a** \n```\nIs **b** and [c](http://d.e/f).\n\n$$y = 2x$$")[0] == "# T\n\n    **a**\n\nIs b and c.\n\n$y = 2x$"
+    assert p1.clean_text("<pre>a &lt; <b>\nb</pre><p>x</p><table><tr><td>1</td><td>2</td></tr></table>")[0] == "    a < <b>\n    b\n\nx\n\n1 | 2"
+    assert p1.clean_text("")[0] == "" and p1.clean_text("5 < 7 % no\n% line")[0] == "5 < 7 % no\n% line"
+
+
 # --- problem 2 --------------------------------------------------------------
 
 
