@@ -191,6 +191,41 @@ def test_same_content():
     assert p6.same_content("a shyness? b", "a shynes? b") and not p6.same_content("a sailor b", "a tailor b") and not p6.same_content("a b", "a b c")
 
 
+def _misspelt(rng, w):
+    w = list(w)
+    for _ in range(rng.randint(0, 2)):
+        i = rng.randrange(len(w) - 1)
+        kind = rng.randrange(4)
+        if kind == 0:
+            w[i], w[i + 1] = w[i + 1], w[i]
+        elif kind == 1:
+            del w[i]
+        elif kind == 2:
+            w.insert(i, rng.choice("aeimnrst"))
+        else:
+            w[i] = rng.choice("aeimnrst")
+    return "".join(w)
+
+
+def _links(spark, keys):
+    """(links found, links by brute force) between records of these keys."""
+    keys = sorted(set(keys))
+    records = spark.createDataFrame([(i, k, 1 + i % 7, "?" in k) for i, k in enumerate(keys)], "rid long, key string, n long, odd boolean")
+    got = {tuple(sorted(map(tuple, [keys[r["a"]], keys[r["b"]]]))) for r in p6.verified_links(records).collect()}
+    return got, {tuple(sorted(map(tuple, [a, b]))) for i, a in enumerate(keys) for b in keys[:i] if p6.same_content(a, b)}
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["solitude", "burnout", "rumination", "grief", "envyful", "hippopotomonstrosesquippedalio", "antidisestablishmentarianismists"]
+    keys = ["solitude?", "solitdue?", "burnout?", "burnuot?", "rumination?", "rumniatoin?"]
+    for _ in range(300):
+        odd = [_misspelt(rng, w) + "?" for w in rng.sample(words, rng.choice([1, 1, 1, 2]))]
+        keys.append(" ".join(sorted({*odd, *rng.sample(["coach", "meal", "union"], rng.randint(0, 1))})))
+    got, want = _links(spark, keys)
+    assert got == want and len(want) > 300
+
+
 # --- problem 7 --------------------------------------------------------------
 
 
