@@ -211,8 +211,8 @@ def _links(spark, keys):
     """(links found, links by brute force) between records of these keys."""
     keys = sorted(set(keys))
     records = spark.createDataFrame([(i, k, 1 + i % 7, "?" in k) for i, k in enumerate(keys)], "rid long, key string, n long, odd boolean")
-    got = {tuple(sorted(map(tuple, [keys[r["a"]], keys[r["b"]]]))) for r in p6.verified_links(records).collect()}
-    return got, {tuple(sorted(map(tuple, [a, b]))) for i, a in enumerate(keys) for b in keys[:i] if p6.same_content(a, b)}
+    got = {tuple(sorted([keys[r["a"]], keys[r["b"]]])) for r in p6.verified_links(records).collect()}
+    return got, {tuple(sorted([a, b])) for i, a in enumerate(keys) for b in keys[:i] if p6.same_content(a, b)}
 
 
 def test_links_against_brute_force(spark):
@@ -226,6 +226,17 @@ def test_links_against_brute_force(spark):
     assert got == want and len(want) > 300
 
 
+def test_links_of_large_buckets(spark):
+    # all share one bucket, and many match others but not the most frequent
+    word = "rumination"
+    more = [word[:i] + c + word[i:] for i in range(11) for c in "aeoxz"]
+    keys = [f"meal {w}?" for w in {*more, *(w[:j] + "y" + w[j:] for w in more[::4] for j in (0, 5, 9)), *(f"{word}{c}" for c in "bcdfg")}]
+    # key lengths more than 2 apart, two edits in each of two words
+    keys += ["meal rumin? solit?", "meal ruminan? solitan?", "coach hesitation? rumination?", "coach hesitationoo? ruminationoo?"]
+    got, want = _links(spark, keys)
+    assert len(keys) > 90 and got == want and len({a for a, _ in want}) > 64
+
+
 # --- problem 7 --------------------------------------------------------------
 
 
