@@ -237,6 +237,34 @@ def test_links_of_large_buckets(spark):
     assert len(keys) > 90 and got == want and len({a for a, _ in want}) > 64
 
 
+def test_long_chain_is_split_to_its_end(spark, monkeypatch):
+    def components(links, a, b):
+        root = {}
+        for x, y in sorted((min(r[a], r[b]), max(r[a], r[b])) for r in links.collect()):
+            root[y] = root.setdefault(x, x)
+        return spark.createDataFrame(sorted(root.items()), "v long, group_id long")
+
+    monkeypatch.setattr(p6, "hash_to_min", components)
+    # each spelling matches the next one; the first of the chain left over is the medoid of each round
+    n = 48
+    records = spark.createDataFrame([(i, "abcdefghijkl" + "xy" * i + "?", 1000 - i, True) for i in range(n)], "rid long, key string, n long, odd boolean")
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    got = {r["rid"]: r["cluster"] for r in p6.split_loose(records, links).collect()}
+    want, deg, left = {}, [1] + [2] * (n - 2) + [1], set(range(n))
+    while left:
+        of = {}
+        for i in sorted(left):
+            of[i] = of[i - 1] if i - 1 in of else i
+        for c in {*of.values()}:
+            members = [i for i in of if of[i] == c]
+            m = max(members, key=lambda i: (deg[i], -i)) if len(members) > 1 else c
+            for i in members:
+                if abs(i - m) <= 1:
+                    want[i] = m
+                    left.discard(i)
+    assert got == want and len({*want.values()}) > 20
+
+
 # --- problem 7 --------------------------------------------------------------
 
 
