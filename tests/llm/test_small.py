@@ -385,3 +385,15 @@ def test_quality_with_many_lists_and_tables(spark, share):
     got = {r["doc_id"]: r["doc_class"] for r in p10.document_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert [got[i] for i in range(120)] == kinds + ["prose"] * (120 - len(kinds))
     assert all(got[i] == ("prose" if i >= 3000 else "list") for i in got if i >= 1000)
+
+
+def test_quality_of_long_and_wide_tables_and_lists(spark):
+    rng = random.Random(7)
+    name = lambda n: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(n // 2))
+    long = "\n".join(f"{name(10)}; 3; 5; 2; 4" for _ in range(5000))
+    wide = "\n".join("\t".join([f"v{i}", *(f"{rng.random():.3f}" for _ in range(80))]) for i in range(6))
+    books = "\n".join(f"{i}. {' '.join(name(8) for _ in range(45))}." for i in range(1, 9))
+    assert min(map(len, [*wide.split("\n"), *books.split("\n")])) > 300
+    got = p10.document_quality(docs(spark, [_prose(rng) for _ in range(40)] + [long, wide, books])).orderBy("doc_id").collect()
+    assert [r["doc_class"] for r in got] == ["prose"] * 40 + ["table", "table", "list"]
+    assert 0.28 < got[40]["digit_ratio"] < 0.29
