@@ -171,13 +171,17 @@ def document_quality(docs: DataFrame) -> DataFrame:
     return classify(z_scores(stats, language_sketches(stats)))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return document_quality(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")).where("doc_class <> 'prose'").select("doc_id", "doc_class")
+    return document_quality(_documents(spark, sf)).where("doc_class <> 'prose'").select("doc_id", "doc_class")
 
 
 def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """The plain statistics, without the sketches."""
-    return text_statistics(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")).select("doc_id", "n_words", "n_lines")
+    """Statistics, z-scores and class of every document."""
+    return document_quality(_documents(spark, sf))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p10_found": p10_found, "p10_statistics": p10_statistics}

@@ -397,3 +397,10 @@ def test_quality_of_long_and_wide_tables_and_lists(spark):
     got = p10.document_quality(docs(spark, [_prose(rng) for _ in range(40)] + [long, wide, books])).orderBy("doc_id").collect()
     assert [r["doc_class"] for r in got] == ["prose"] * 40 + ["table", "table", "list"]
     assert 0.28 < got[40]["digit_ratio"] < 0.29
+
+
+def test_statistics_query_returns_all_columns(spark, tmp_path):
+    docs(spark, ["The people said so.\nIt was."], source="x").write.parquet(f"{tmp_path}/documents.parquet")
+    r = p10.p10_statistics(spark, str(tmp_path)).collect()
+    assert len(r) == 1 and (r[0]["n_words"], r[0]["n_lines"], r[0]["line_end_share"]) == (6, 2, 1.0) and r[0]["mean_word"] == 20 / 6
+    assert {*p10.STATS, *(f"z_{s}" for s in p10.STATS)} <= {*r[0].asDict()} and r[0]["z_common_share"] is not None
