@@ -116,7 +116,7 @@ class Thesaurus:
         return []
 
     def _name(self, toks: list[str]) -> str:
-        if not toks or len(toks) > 40:
+        if not toks:
             return ""
         found: dict[str, list[tuple[float, tuple[int, ...]]]] = defaultdict(list)
         hits: list[tuple[float, float, str]] = []

@@ -96,6 +96,12 @@ def test_concepts(spark):
     assert p2.map_spans(r.where("false"), c).count() == 0
 
 
+def test_concept_in_a_long_span(spark):
+    c = spark.createDataFrame([("c1", "SHIFT FATIGUE", [])], "id string, leaf string, alt array<string>")
+    r = spark.createDataFrame([(1, "the " * 60 + "shift fatigue", "")], "row_id long, cause string, effect string")
+    assert [x["concept_id"] for x in p2.map_spans(r, c).collect()] == ["c1"]
+
+
 def test_spelling():
     assert distance("abcd", "abdc") == 0.8 and distance("abc", "abc") == 0 and distance("a", "abcdef", 2) > 2
     d = Dictionary({"fatigue": 3, "trust": 1})
@@ -170,6 +176,16 @@ def test_page_values():
     assert p5.page_value("3 of 9") == ("#of", 3)
 
 
+@pytest.mark.parametrize("end", [" \n", "\r\n", "\n"])
+def test_cut_before_blanks(spark, end):
+    filler = "The house was measured again by us and the people said the long line of text goes on in the group as the house was. " * 40
+    text = f"The group was mea-{end}sured again by us in the house and the long{end}line of text goes on as the people said."
+    d = docs(spark, [text, filler])
+    lines = spark.createDataFrame([], "line_id long, doc_id string, page int, line_no long, text string")
+    got = {r["doc_id"]: r["kinds"] for r in p5.document_noise(d, p5._models(spark, d, lines)).collect()}
+    assert got == {0: ["hyphen_break"], 1: []}
+
+
 # --- problem 6 --------------------------------------------------------------
 
 
