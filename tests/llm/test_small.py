@@ -365,11 +365,24 @@ def test_leaks_against_brute_force(spark):
                 want.add((d, i))
     df, it = docs(spark, texts + [None, ""], item_id=1), spark.createDataFrame(items, "item_id long, passage string")
     assert {tuple(r) for r in p9.leaks(df, it).collect()} == want
+    # the same when the items are too many for a broadcast
+    assert {tuple(r) for r in p9.leaks(df, it, most_words=0).collect()} == want
+    assert p9.joined_leaks(df, it.where("false").where("passage <> ''")).count() == 0
     assert p9.leaks(df, it.where("false")).count() == 0 and p9.leaks(df.where("false"), it).count() == 0
 
 
 def test_leak_words():
     assert p9.words("1,325 peo-\nple сау “Hi”") == ["1325", "people", "cay", "hi"]
+    assert p9.words("3\u202f688 and 12 345 of 20 12 1990") == ["3688", "and", "12345", "of", "20", "12", "1990"]
+
+
+def test_size_classes():
+    for n in range(1, 4000):
+        c, k, w = p9.size_class(n)
+        need = -(-n // 2)
+        # every run that matters holds a window, and no run of the partition is much longer than its window
+        assert k + w - 1 <= need < 1.5 * (k + w - 1) + 1 and k == min(5, k + w - 1)
+        assert p9.size_class(n)[1:] == (k, w)
 
 
 # --- problem 10 -------------------------------------------------------------
