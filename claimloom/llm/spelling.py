@@ -12,6 +12,7 @@ def distance(a: str, b: str, most: float = 9.0) -> float:
     if abs(len(a) - len(b)) > most:
         return most + 1
     before2: list[float] = []
+    low = 0.0
     before = [float(j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         row = [float(i)]
@@ -23,7 +24,9 @@ def distance(a: str, b: str, most: float = 9.0) -> float:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
                 c = min(c, before2[j - 2] + 0.8)
             row.append(c)
-        before2, before = before, row
+        if (least := min(row)) > most and low + 0.8 > most:
+            return most + 1  # every alignment goes through this row, or by a swap through the one before
+        before2, before, low = before, row, least
     return before[-1]
 
 
@@ -36,10 +39,29 @@ def deletes(word: str, most: int) -> set[str]:
     return out
 
 
+#: Longer words are looked up by pieces: their deletions would grow with the square of the length.
+LONG = 14
+
+
+def piece_keys(word: str, length: int, shifts: range) -> set[str]:
+    """Pieces of ``word`` at the places, moved by ``shifts``, of the five pieces of a word of ``length`` letters.
+
+    Two edits, swaps included, touch four pieces at most, so one of the five stays, moved by two places at most.
+    """
+    cuts = [length * k // 5 for k in range(6)]
+    return {f"{length} {k} {word[a + s : b + s]}" for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for s in shifts if a + s >= 0 and b + s <= len(word)}
+
+
 def edits_allowed(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
 
+def entries(word: str) -> int:
+    """Index entries of a reference word, at most."""
+    n = len(word)
+    return 5 if n > LONG else (1, 1 + n, 1 + n + n * (n - 1) // 2)[edits_allowed(word)]
+
+
 class Dictionary:
     """Reference words with frequencies, found within a bounded edit distance."""
 
@@ -47,7 +69,7 @@ class Dictionary:
         self.words = words
         self.index: dict[str, list[str]] = defaultdict(list)
         for w in words:
-            for d in deletes(w, edits_allowed(w)):
+            for d in piece_keys(w, len(w), range(1)) if len(w) > LONG else deletes(w, edits_allowed(w)):
                 self.index[d].append(w)
         self.memo: dict[str, list[tuple[float, float, str]]] = {}
 
@@ -70,7 +92,11 @@ class Dictionary:
         most = 2 if len(word) == 5 else edits_allowed(word)
         if not most:
             return []
-        near = {w for d in deletes(word, most) for w in self.index.get(d, ()) if abs(len(w) - len(word)) <= most}
+        n = len(word)
+        keys = deletes(word, most) if n <= LONG + 2 else set()
+        for m in range(max(LONG + 1, n - 2), n + 3):
+            keys |= piece_keys(word, m, range(-2, 3))
+        near = {w for d in keys for w in self.index.get(d, ()) if abs(len(w) - n) <= most}
         far = 1.8 if len(word) == 5 else float(most)
         got = ((distance(word, w), -self.words[w], w) for w in near)
         return sorted(x for x in got if x[0] <= min(far, edits_allowed(x[2])))

@@ -204,6 +204,7 @@ def test_clusters(spark):
 
 
 def test_same_content():
+    assert p6.jaccard("a b c", "a b d") == 0.5 and p6.jaccard("a shyness? b", "a shynes? b") == 1 and p6.jaccard("", "") == 0
     assert p6.same_content("a shyness? b", "a shynes? b") and not p6.same_content("a sailor b", "a tailor b") and not p6.same_content("a b", "a b c")
 
 
@@ -226,7 +227,7 @@ def _misspelt(rng, w):
 def _links(spark, keys):
     """(links found, links by brute force) between records of these keys."""
     keys = sorted(set(keys))
-    records = spark.createDataFrame([(i, k, 1 + i % 7, "?" in k) for i, k in enumerate(keys)], "rid long, key string, n long, odd boolean")
+    records = spark.createDataFrame([(i, k, 1 + i % 7, "?" in k) for i, k in enumerate(keys)], "rid long, key string, n long, odd boolean").withColumn("bucket", F.lit(0))
     got = {tuple(sorted([keys[r["a"]], keys[r["b"]]])) for r in p6.verified_links(records).collect()}
     return got, {tuple(sorted([a, b])) for i, a in enumerate(keys) for b in keys[:i] if p6.same_content(a, b)}
 
@@ -253,6 +254,61 @@ def test_links_of_large_buckets(spark):
     assert len(keys) > 90 and got == want and len({a for a, _ in want}) > 64
 
 
+def test_every_record_is_linked_to_its_cluster(spark):
+    # written forms of one settled key are linked through the most frequent of them, settled words or not
+    keys = ["coach grief", "coach grief", "coach grief", "grief", "coach rumniatoin?", "coach rumniatoin?", "coach rumination?"]
+    records = spark.createDataFrame([(i, k, 10 - i) for i, k in enumerate(keys)], "rid long, key string, n long")
+    assert {(r["a"], r["b"]) for r in p6.verified_links(records).collect()} == {(0, 1), (0, 2), (4, 5), (4, 6)}
+    got = defaultdict(set)
+    for r in p6.split_loose(records, p6.verified_links(records)).collect():
+        got[r["cluster"]].add(r["rid"])
+    assert dict(got) == {0: {0, 1, 2}, 3: {3}, 4: {4, 5, 6}}
+
+
+def test_misspelt_plurals():
+    s = p6.Speller({"coach": 50, "nurse": 50, "novice": 50, "midwife": 50, "cache": 50})
+    for w, v in (("coahces", "coach"), ("nuress", "nurse"), ("novies", "novice"), ("midwives", "midwife"), ("caches", "cache"), ("coaches", "coach")):
+        assert s.settle(w) == v
+
+
+def test_pieces_find_what_deletions_find():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcd") for _ in range(n)) for n in range(12, 34) for _ in range(3)]
+    d = Dictionary({w: 1.0 for w in words})
+    for w in words:
+        for _ in range(6):
+            bad = _misspelt(rng, w)
+            if 0 < distance(bad, w) <= 2:
+                assert w in [x[2] for x in d.lookup(bad)]
+
+
+def test_planted_spellings_are_recalled(spark):
+    """Every link of a planted table: a third of all spans say one thing, each word of them may be misspelt."""
+    rng = random.Random(12)
+    sides, things, people = "private public mutual formal spatial".split(), "lending shyness hostility gratitude rumination".split(), "sculptors cashiers coaches nurses librarians".split()
+    frames = ["{a} {b} among {c}", "the {a} {b} of {c}", "{b} that is {a}, in {c}", "{c} with {a} {b}"]
+    spans, truth = [], []
+    for i in range(1500):
+        key = (sides[0], things[0], people[0]) if i % 3 == 0 else (rng.choice(sides), rng.choice(things), rng.choice(people))
+        a, b, c = key
+        if rng.random() < 0.1:
+            k = rng.randrange(1, len(b) - 2)
+            b = b[:k] + b[k + 1] + b[k] + b[k + 2 :]
+        spans.append(rng.choice(frames).format(a=a, b=b, c=c))
+        truth.append(key)
+    got = defaultdict(set)
+    for r in p6.clusters(spark.createDataFrame(list(enumerate(spans)), "span_id long, span string")).collect():
+        got[r["cluster"]].add(r["span_id"])
+    want = defaultdict(set)
+    for i, key in enumerate(truth):
+        want[key].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(1500)], "g long, i long")
+    pairs = {(r[0], r[1]) for r in p6.pairs_within(rows, "g", "i").collect()}
+    hot = [i for i in range(1500) if i % 3 or i == 0]
+    assert pairs == {(a, b) for k, a in enumerate(hot) for b in hot[k + 1 :]}
+
+
 def test_long_chain_is_split_to_its_end(spark, monkeypatch):
     def components(links, a, b):
         root = {}
