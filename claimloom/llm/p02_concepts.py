@@ -1,7 +1,9 @@
 """Problem 2: free spans mapped to the thesaurus entry they name; misses are reported.
 
 The labels make a symmetric-delete dictionary of words and of joined labels,
-which is broadcast: it has as many entries as the thesaurus has words.  A span
+which is broadcast after its entries were counted.  Spans are brought to words,
+and each distinct word list is looked up once, by one task; hot spans get their
+entry by a broadcast of at most HOT_SHARE rows, the others by a join.  A span
 names a label if all of the label's words are found in it within a bounded
 edit distance and what is left only frames the phrase.  Labels that fit are
 ranked by weighted Damerau-Levenshtein distance, then by reference frequency.
@@ -17,13 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.llm.hot import hot_keys, hot_threshold, spread
 from claimloom.llm.lookalike import skeleton
-from claimloom.llm.spelling import Dictionary, edits_allowed
+from claimloom.llm.spelling import Dictionary, edits_allowed, entries
+from claimloom.scratch import Scratch
 
-#: The dictionary is broadcast; a thesaurus with more labels than this is refused rather than broadcast.
-MOST_LABELS = 500_000
-#: Distinct spans remembered by a worker.
-MEMO = 300_000
+#: The dictionary is broadcast (some 100 bytes an entry); a thesaurus that would need more entries is refused.
+MOST_ENTRIES = 3_000_000
 
 # Words that extend a phrase without changing what it names.
 FRAMES = frozenset(
@@ -45,6 +47,16 @@ def tokens(span: str) -> list[str]:
     return _TOKEN.findall(_CAMEL.sub(" ", _PIECE.sub("", _MARKER.sub(" ", skeleton(span)))).lower())
 
 
+def label_words(label: str) -> tuple[str, ...]:
+    return tuple(w for w in tokens(label or "") if w not in _LINK)
+
+
+def joined_ways(label: str) -> set[str]:
+    """A label written as one word, in its order or the other way round."""
+    words = label_words(label)
+    return {"".join(words), "".join(reversed(words)), "".join(tokens(label))}
+
+
 class Thesaurus:
     def __init__(self, rows: list[tuple[str, list[str]]]):
         self.labels: list[tuple[str, tuple[str, ...]]] = []
@@ -54,17 +66,17 @@ class Thesaurus:
         exact: set[tuple[str, tuple[str, ...]]] = set()
         for concept, labels in rows:
             for label in labels:
-                words = tuple(w for w in tokens(label or "") if w not in _LINK)
+                words = label_words(label)
                 if not words or (concept, words) in exact:
                     continue
                 exact.add((concept, words))
                 k = len(self.labels)
                 self.labels.append((concept, words))
                 freq.update(words)
-                for part in (label or "").lower().split():
-                    if len(parts := tuple(w for w in tokens(part) if w not in _LINK)) > 1:
+                for part in label.lower().split():
+                    if len(parts := label_words(part)) > 1:
                         self.compounds["".join(parts)] = parts
-                for way in {"".join(words), "".join(reversed(words)), "".join(tokens(label))}:
+                for way in joined_ways(label):
                     joined[way].append(k)
         self.of_word: dict[str, list[int]] = defaultdict(list)
         for k, (_, words) in enumerate(self.labels):
@@ -75,16 +87,11 @@ class Thesaurus:
         self.joined = Dictionary({w: float(len(v)) for w, v in joined.items()})
         self.of_joined = dict(joined)
         self.compound = Dictionary({w: 1.0 for w in self.compounds})
-        self.memo: dict[str, str] = {}
+        self.together: dict[str, list[tuple[float, str]]] = {}
 
-    def name(self, span: str) -> str:
-        """Id of the entry that the span names; '' if there is none."""
-        got = self.memo.get(span)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.memo[span] = self._name(tokens(span))
-        return got
+    def name(self, words: str) -> str:
+        """Id of the entry that a span of these words (parted by spaces) names; '' if there is none."""
+        return self._name(words.split())
 
     def _rest_frames(self, toks: list[str], used: set[int]) -> bool:
         """Whether the tokens that aren't used only frame the phrase."""
@@ -94,7 +101,15 @@ class Thesaurus:
         # at most one noun (two words) of people or place, after its preposition, before or behind the phrase
         return len(free) <= 2 and free[0] > 0 and (toks[free[0] - 1] in _WHO or toks[free[0] - 1] in ("the", "a") and free[0] > 1 and toks[free[0] - 2] in _WHO) and free == list(range(free[0], free[0] + len(free)))
 
-    def _written_together(self, t: str, depth: int = 0) -> list[tuple[float, str]]:
+    def _written_together(self, t: str) -> list[tuple[float, str]]:
+        got = self.together.get(t)
+        if got is None:
+            if len(self.together) > 200_000:
+                self.together.clear()
+            got = self.together[t] = self._parts(t)
+        return got
+
+    def _parts(self, t: str, depth: int = 0) -> list[tuple[float, str]]:
         """Label words of a token in which words (and framing words) were joined; at most one of them misspelt."""
         for cut in range(len(t) - 3, 2, -1):
             left, right = t[:cut], t[cut:]
@@ -106,7 +121,7 @@ class Thesaurus:
                 return [*own, (0.0, right)]
             if right in FRAMES and own:
                 return own
-            if depth < 3 and len(right) >= 6 and (deep := self._written_together(right, depth + 1)):
+            if depth < 3 and len(right) >= 6 and (deep := self._parts(right, depth + 1)):
                 return own + deep
             if near := self.words.lookup(right):
                 return own + [(d, w) for d, _, w in near[:2]]
@@ -162,29 +177,58 @@ class Thesaurus:
         return min(hits)[2] if hits else ""
 
 
+def _dictionary_entries(label: str) -> int:
+    return sum(entries(w) for w in (*label_words(label), *joined_ways(label)))
+
+
+def _thesaurus(concepts: DataFrame) -> Thesaurus:
+    """The dictionary of a thesaurus, built on the driver once its entries are known to be few enough."""
+
+    @F.pandas_udf("long")
+    def count(labels: pd.Series) -> pd.Series:
+        return pd.Series([sum(map(_dictionary_entries, filter(None, x))) for x in labels], dtype="int64")
+
+    rows = concepts.select("id", F.concat(F.array("leaf"), F.coalesce("alt", F.array().cast("array<string>"))).alias("labels"))
+    n = rows.agg(F.sum(count("labels"))).first()[0] or 0
+    if n > MOST_ENTRIES:
+        raise ValueError(f"a dictionary of {n} entries is too large for a broadcast")
+    return Thesaurus([(r["id"], r["labels"]) for r in rows.orderBy("id").collect()])
+
+
 def map_spans(rows: DataFrame, concepts: DataFrame) -> DataFrame:
     """``(row_id, side, concept_id)`` for ``(row_id, cause, effect)``: one row per side with a letter or digit.
 
     ``concept_id`` is '' where the span names no entry.  NULL spans give no
     row; repeated row ids are mapped each for itself.  Ties between entries go
-    to the more frequent label words, then to the least id.  Nothing is shuffled.
+    to the more frequent label words, then to the least id.
     """
     spark = rows.sparkSession
-    n = concepts.select(F.sum(F.lit(1) + F.coalesce(F.size("alt"), F.lit(0)))).first()[0] or 0
-    if n > MOST_LABELS:
-        raise ValueError(f"{n} labels are too many for a broadcast dictionary")
-    entries = [(r["id"], [r["leaf"], *(r["alt"] or [])]) for r in concepts.select("id", "leaf", "alt").orderBy("id").collect()]
-    shared = spark.sparkContext.broadcast(Thesaurus(entries))
+    scratch = Scratch(spark, "concepts")
+    shared = spark.sparkContext.broadcast(_thesaurus(concepts))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = shared.value.name
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for side in ("cause", "effect"):
-                x = b[b[side].notna()]
-                x = x[[any(c.isalnum() for c in s) for s in x[side]]] if len(x) else x
-                yield pd.DataFrame({"row_id": x["row_id"], "side": side, "concept_id": [name(s) for s in x[side]]}).astype({"row_id": "int64", "side": "str", "concept_id": "str"})
+            yield b.assign(words=[" ".join(tokens(s)) for s in b["span"]])
 
-    return rows.select("row_id", "cause", "effect").mapInPandas(read, "row_id long, side string, concept_id string")
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = shared.value.name
+        for b in batches:
+            yield b.assign(concept_id=[name(w) for w in b["words"]])
+
+    sides = rows.select("row_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("span")) for s in ("cause", "effect")))).alias("x")).select("row_id", "x.side", "x.span")
+    sides = sides.where(F.col("span").rlike(r"[\p{L}\p{N}]"))
+    counts = sides.groupBy("span").agg(F.count("*").alias("n"))
+    spans = scratch.cut(counts.mapInPandas(spell, "span string, n long, words string"), "spans", n=F.coalesce(F.sum("n"), F.lit(0)))
+    total = scratch.seen["n"]
+    names = spread(spans.select("words").distinct()).mapInPandas(look_up, "words string, concept_id string")
+    named = scratch.cut(spans.join(names, "words").select("span", "n", "concept_id"), "named")
+    scratch.drop(spans)
+    hot = F.broadcast(hot_keys(named, "n", total).select("span", "concept_id"))
+    cold = named.where(F.col("n") < hot_threshold(total)).select("span", "concept_id")
+    # rows of hot spans leave before the shuffle, so no task gets all rows of one span
+    flagged = sides.join(hot.withColumnRenamed("concept_id", "_hot"), "span", "left")
+    of_hot = flagged.where("_hot is not null").select("row_id", "side", F.col("_hot").alias("concept_id"))
+    return of_hot.unionByName(flagged.where("_hot is null").join(cold, "span").select("row_id", "side", "concept_id"))
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -247,6 +247,8 @@ def _sql_words(text: str) -> str:
     """Words of a text in SQL: look-alike letters in Latin, words cut at line ends joined, digit groups joined."""
     wide, narrow = "".join(map(chr, range(0xFF10, 0xFF5B))), "".join(map(chr, range(0x30, 0x7B)))
     t = f"translate(translate({text}, '{SPACES}', '{' ' * len(SPACES)}'), '{''.join(TO_LATIN)}{wide}', '{''.join(TO_LATIN.values())}{narrow}')"
+    for ligature, letters in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+        t = f"replace({t}, '{ligature}', '{letters}')"
     t = f"regexp_replace({t}, '[\\x{{00ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
     t = f"regexp_replace({t}, '(\\p{{L}})[-¬]\\s*\\n\\s*(\\p{{L}})', '\\1\\2', 'g')"
     t = f"regexp_replace({t}, '(\\d)[,.'' ](\\d\\d\\d)\\b', '\\1\\2', 'g')"

@@ -96,6 +96,17 @@ def test_concepts(spark):
     assert p2.map_spans(r.where("false"), c).count() == 0
 
 
+def test_hot_spans_and_the_bound_of_the_dictionary(spark, monkeypatch):
+    c = spark.createDataFrame([("c1", "SHIFT FATIGUE", [])], "id string, leaf string, alt array<string>")
+    r = spark.createDataFrame([(i, "shift fatigue" if i % 3 else f"span {i % 40}", None) for i in range(4500)], "row_id long, cause string, effect string")
+    got = p2.map_spans(r, c)
+    assert got.count() == 4500 and got.where("concept_id = 'c1'").count() == 3000 == got.where("concept_id = 'c1' and row_id % 3 <> 0").count()
+    assert "Broadcast" in got._jdf.queryExecution().toString()
+    monkeypatch.setattr(p2, "MOST_ENTRIES", 10)
+    with pytest.raises(ValueError):
+        p2.map_spans(r, c)
+
+
 def test_concept_in_a_long_span(spark):
     c = spark.createDataFrame([("c1", "SHIFT FATIGUE", [])], "id string, leaf string, alt array<string>")
     r = spark.createDataFrame([(1, "the " * 60 + "shift fatigue", "")], "row_id long, cause string, effect string")
