@@ -182,6 +182,41 @@ def test_scan(spark):
     assert found == {(0, "running_head"), (10, "running_head"), (20, "running_head"), (4, "page_number"), (14, "page_number"), (24, "page_number"), (1, "hyphen_break"), (11, "hyphen_break"), (21, "hyphen_break"), (12, "misread")}
 
 
+    text = {r["line_id"]: r["text"] for r in p5.line_paragraphs(lines, shared).collect()}
+    assert text[1] == " ".join("The group was measured again by us in the house and the long line of text goes on as the people said." for _ in range(3))
+
+
+def test_paragraph_over_chunks(spark, monkeypatch):
+    """A paragraph longer than a chunk and its context keeps its first line."""
+    monkeypatch.setattr(p5, "CHUNK", 20)
+    monkeypatch.setattr(p5, "CONTEXT", 3)
+    words = "the long line of text goes on and the people said it was so again".split()
+    texts = [f"{' '.join(words)} {words[i % 9]}" for i in range(75)] + ["end."] + [f"Then {' '.join(words)}"] * 2
+    lines = spark.createDataFrame([(100 + i, "d", 1, i, t) for i, t in enumerate(texts)], "line_id long, doc_id string, page int, line_no long, text string")
+    d = docs(spark, texts)
+    got = {r["line_id"]: r["text"] for r in p5.line_paragraphs(lines, p5._models(spark, d, lines)).collect()}
+    assert got == {100: " ".join(texts[:76]), 176: " ".join(texts[76:])}
+
+
+def test_line_model_learns_from_unreliable_labels():
+    rng = random.Random(3)
+    windows, truth = [], []
+    for _ in range(120):
+        page = [("head at an edge", "H")] + [("short", "T")] * 12 + [("number", "N")]
+        page = page * 3
+        said = [{"H": "running_head", "N": "page_number", "T": ""}[s] if rng.random() < 0.75 else rng.choice(["", "table_row", "heading", "page_number"]) for _, s in page]
+        windows.append(([x for x, _ in page], said))
+        truth.append("".join(s for _, s in page))
+    m = p5.fit_lines(windows)
+    assert [p5.viterbi(w, m) for w, _ in windows] == truth
+    assert p5.fit_lines([]).look == p5._LOOK
+
+
+def test_confusions_are_weighed():
+    r = p5.Reader({"house": 100, "hers": 90, "form": 90, "corn": 100}, ["hoiise"] * 3)
+    assert r.correct("hoiise") == "house" and max(r.weight, key=r.weight.get) == ("ii", "u") and abs(sum(r.weight.values()) - 1) < 1e-9
+
+
 def test_page_values():
     assert p5.page_value("[l6O]") == ("[#]", 160) and p5.page_value("xix") == ("roman#", 19) and p5.page_value("mild") is None
     assert p5.page_value("3 of 9") == ("#of", 3)
