@@ -1,19 +1,29 @@
 """Problem 1: markup residue in text documents.
 
-Candidate constructs are found in the text; a minimum cut decides which of them
-are markup and which only look like it, and further cuts decide between two
-languages that could both have written one.  Terminal capacities are the costs
-of a classifier over the construct's form; smoothness edges join constructs
-that stand near each other or inside the same element or environment.  The
-constructs left as markup are then rewritten, each by its kind and nothing else:
-headings, lists, code and formulas are kept in one plain notation.
+Candidate constructs and the blocks of text between them are the nodes of one
+graph.  A minimum cut decides which constructs are markup and which only look
+like it, and which blocks are content and which boilerplate; further cuts decide
+between two languages that could both have written a construct.  Terminal
+capacities are the costs of classifiers over form and shape; smoothness edges
+join constructs that stand near each other or inside the same element or
+environment, neighbouring blocks, and blocks with the page furniture around
+them.  The constructs left as markup are then rewritten, each by its kind and
+nothing else: headings, lists, code and formulas are kept in one plain notation;
+boilerplate blocks are left out.
+
+The block classifier is fitted on a bounded sample of documents, in which the
+place or wording of blocks labels them well enough.  The costs of constructs are set
+by hand: nothing in a text labels them.
 """
 
 from __future__ import annotations
 
 import html
+import json
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -43,32 +53,32 @@ class Mark(NamedTuple):
 
 
 _SURE = 50.0
-_TAG = re.compile(rf"</?(?:(?P<w>{WIKI_TAGS})|(?P<h>{HTML_TAGS}))(?:\s[^<>]{{0,300}})?/?>", re.IGNORECASE)
+_TAG = re.compile(rf"</?(?:(?P<w>{WIKI_TAGS})|(?P<h>{HTML_TAGS}))(?:\s[^<>]*)?/?>", re.IGNORECASE)
 _COMMENT = re.compile(r"<!--.*?-->|<!doctype[^>]*>", re.IGNORECASE | re.DOTALL)
-_ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}\d{0,2}|#\d{1,6}|#[xX][0-9a-fA-F]{1,6});")
-_WIKI_LINK = re.compile(r"\[\[[^\[\]\n]{1,200}\]\]")
-_TEMPLATE = re.compile(r"\{\{[^{}\n]{1,300}\}\}")
+_ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,31}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
+_WIKI_LINK = re.compile(r"\[\[[^\[\]\n]+\]\]")
+_TEMPLATE = re.compile(r"\{\{[^{}]+\}\}")
 _WIKI_HEAD = re.compile(r"^(={2,6})[ \t]*[^=\n].*?[ \t]*\1[ \t]*$", re.MULTILINE)
-_QUOTES = re.compile(r"(?<!')('{2,5})(?=[^'\s])[^'\n]{1,200}?(?<=[^'\s])\1(?!')")
+_QUOTES = re.compile(r"(?<!')('{2,5})(?=[^'\s])[^'\n]+?(?<=[^'\s])\1(?!')")
 _MAGIC = re.compile(r"__(?:NO)?(?:TOC|EDITSECTION|FORCETOC|INDEX|NEWSECTIONLINK|GALLERY)__|#REDIRECT\b")
 _WIKI_TABLE = re.compile(r"^(?:\{\|.*|\|\}|\|-.*|\|[^|\n]+\|\|.*)$", re.MULTILINE)
 _EXTERNAL = re.compile(r"\[https?://[^\s\]]+ [^\]\n]+\]")
 _HASH = re.compile(r"^(#{1,6})[ \t]+\S.*$", re.MULTILINE)
 _SETEXT = re.compile(r"^(?P<t>[^\s\-=|#>*].*\S|\S)\n(?P<u>={3,}|-{3,})[ \t]*$", re.MULTILINE)
-_EMPHASIS = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])[^*\n]{1,160}?(?<=[^\s*])\1(?![\w*])")
-_BOLD = re.compile(r"(?<![\w_])__(?=[^\s_])[^_\n]{1,160}?(?<=[^\s_])__(?![\w_])")
-_UNDER = re.compile(r"(?<![\w_\\{])_(?=[^\s_])[^_\n]{1,160}?(?<=[^\s_])_(?![\w_])")
+_EMPHASIS = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])[^*\n]+?(?<=[^\s*])\1(?![\w*])")
+_BOLD = re.compile(r"(?<![\w_])__(?=[^\s_])[^_\n]+?(?<=[^\s_])__(?![\w_])")
+_UNDER = re.compile(r"(?<![\w_\\{])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])")
 _FENCE = re.compile(r"^(```|~~~)[^\n`]*\n.*?(?:^\1[ \t]*$|\Z)", re.MULTILINE | re.DOTALL)
-_TICK = re.compile(r"(?<!`)`(?=[^\s`])[^`\n]{1,160}?`(?!`)")
-_MD_LINK = re.compile(r"!?\[[^\[\]\n]{0,200}\]\([^()\s]{1,300}(?: \"[^\"\n]*\")?\)")
-_FOOTNOTE = re.compile(r"\[\^[\w-]{1,20}\]:?")
+_TICK = re.compile(r"(?<!`)`(?=[^\s`])[^`\n]+?`(?!`)")
+_MD_LINK = re.compile(r"!?\[[^\[\]\n]*\]\([^()\s]+(?: \"[^\"\n]*\")?\)")
+_FOOTNOTE = re.compile(r"\[\^[\w-]+\]:?")
 _MD_TABLE = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$", re.MULTILINE)
 _BLOCKQUOTE = re.compile(r"^> ?(?=\S).*$", re.MULTILINE)
 _STRIKE = re.compile(r"~~(?=\S)[^~\n]+?~~")
-_COMMAND = re.compile(r"\\(?:[a-zA-Z]{2,}\*?|[$&%#_{}\\])(?:\[[^\]\n]{0,80}\])?")
+_COMMAND = re.compile(r"\\(?:[a-zA-Z]{2,}\*?|[$&%#_{}\\])(?:\[[^\]\n]*\])?")
 _DISPLAY = re.compile(r"\\\[.*?\\\]|\\\(.*?\\\)", re.DOTALL)
 _LATEX_COMMENT = re.compile(r"^%.*$", re.MULTILINE)
-_FORMULA = re.compile(r"\$\$(?P<d>[^$]{1,400}?)\$\$|(?<![\w$\\])\$(?P<i>(?=[^\s\d$])[^$\n]{0,200}?[^\s$])\$(?![\w$])")
+_FORMULA = re.compile(r"\$\$(?P<d>[^$]+?)\$\$|(?<![\w$\\])\$(?P<i>(?=[^\s\d$])[^$\n]*?[^\s$])\$(?![\w$])")
 _CODE = re.compile(r"<(pre|code|syntaxhighlight|source|script|style)\b[^<>]*>.*?</\1>", re.IGNORECASE | re.DOTALL)
 #: Documents without any of these hold no markup at all.
 _ANY = re.compile(r"[<\\*`#{_~]|&[a-zA-Z#]|\[[\[^!\w]|\]\(|''|==|---|^> |\$", re.MULTILINE)
@@ -161,7 +171,7 @@ def find_marks(t: str) -> list[Mark]:
                     add(m, "heading", _SURE, 0, markdown=0)
     if "==" in t or "---" in t:
         for m in _SETEXT.finditer(t):
-            if len(m.group("t")) < 200 and "|" not in m.group("t"):
+            if "|" not in m.group("t"):
                 add((m.start("u"), m.end("u")), "underline", _SURE if m.group("u")[0] == "=" else 2.0, 0, markdown=0)
     if "*" in t:
         for m in _EMPHASIS.finditer(t):
@@ -209,28 +219,132 @@ def _edges(marks: list[Mark], t: str, weight: float) -> list[tuple[int, int, flo
         for j in range(i + 1, min(len(marks), i + 5)):
             gap = max(0, marks[j].start - a.end)
             out.append((i, j, weight / ((j - i) * (1 + gap / 1500))))
-    opened: list[tuple[str, int]] = []
+    out += [(i, j, 2 * weight) for i, j in _elements(marks, t)]
+    return out
+
+
+def _elements(marks: list[Mark], t: str) -> list[tuple[int, int]]:
+    """Opening and closing tag of each element."""
+    out, opened, names = [], [], Counter()
     for i, m in enumerate(marks):
+        if m.kind != "tag":
+            continue
         s = t[m.start : m.end]
-        if m.kind == "tag" and s[1:2].isalpha() and s[-2:] != "/>":
-            opened.append((re.match(r"\w+", s[1:]).group().lower(), i))
-        elif m.kind == "tag" and s[1:2] == "/":
-            name = s[2:-1].strip().lower()
-            k = next((k for k in range(len(opened) - 1, max(-1, len(opened) - 6), -1) if opened[k][0] == name), None)
-            if k is not None:
-                out.append((opened[k][1], i, 2 * weight))
-                del opened[k:]
+        if s[1:2].isalpha() and s[-2:] != "/>":
+            name = re.match(r"\w+", s[1:]).group().lower()
+            if name not in _VOID:
+                opened.append((name, i))
+                names[name] += 1
+        elif s[1:2] == "/" and names[name := s[2:-1].strip().lower()]:
+            while True:
+                inner, k = opened.pop()
+                names[inner] -= 1
+                if inner == name:
+                    out.append((k, i))
+                    break
     return out
 
 
-def label_marks(t: str, marks: list[Mark]) -> list[tuple[Mark, str]]:
-    """The constructs that are markup, each with the language it counts for."""
+_CELL = re.compile(r"<(?:li|td|th|dt|dd)\b", re.IGNORECASE)
+
+
+class Block(NamedTuple):
+    start: int
+    end: int
+    #: shape, for the classifier
+    features: tuple[str, ...]
+    #: whether its place or wording makes it boilerplate: a label to fit on, right for most blocks but not for all
+    known: bool
+    #: furniture elements around it (numbers of their opening tags)
+    inside: tuple[int, ...]
+
+
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr li p dt dd tr td th option".split())
+# Elements that hold the furniture of a page, and what its controls say.
+FURNITURE = frozenset("nav footer button form select menu dialog aside".split())
+CONTROLS = re.compile(r"(?:(?:log|sign) (?:in|out|up)|register|home|menu|search|share|next(?: page)?|previous(?: page)?|back to top|(?:accept|reject) all|download(?: pdf)?|print|contact(?: us)?|about(?: us)?|help|(?:cookie )?settings|cookies|privacy policy|terms of use|subscribe|follow us|(?:read|view|load) more|skip to content|close)", re.IGNORECASE)
+#: Documents the block classifier is fitted on at most, and what its starting odds weigh, in blocks.
+FIT_DOCS, FIT_PRIOR = 2_000, 50
+#: Log-odds of boilerplate for each shape that fitting begins with, and of boilerplate as such.
+BLOCK_ODDS = {"words:0": 1.0, "words:3": 0.3, "words:10": -2.0, "ends": -1.5, "open": 0.5, "linked": 2.0, "unlinked": -0.5, "control": 6.0, "no control": -0.3}
+BIAS = -3.0
+
+
+def find_blocks(t: str, marks: list[Mark]) -> list[Block]:
+    """Lines of text between constructs that end a block; outside of page furniture, headings, list items, cells, code and formulas are left out: they stay."""
+    tags = [(m.start, m.end, t[m.start : m.end]) for m in marks if m.kind == "tag"]
+    breaks = sorted({x for a, b, s in tags if _BLOCKS.fullmatch(s) for x in (a, b)})
+    kept = sorted((m.start, m.end) for m in marks if m.kind in ("heading", "list", "table", "code", "formula", "underline", "quote"))
+    spans = [(marks[i].start, marks[j].end, re.match(r"\w+", t[marks[i].start + 1 :]).group().lower(), i) for i, j in _elements(marks, t)]
+    kept += [(a, b) for a, b, name, _ in spans if re.fullmatch("h[1-6]|title|pre|code|math|chem|script|style|table", name)]
+    links = [(a, b) for a, b, name, _ in spans if name == "a"] + [(m.start, m.end) for m in marks if m.kind == "link"]
+    furniture = [(a, b, i) for a, b, name, i in spans if name in FURNITURE]
+    covered, solid = bytearray(len(t)), bytearray(len(t))
+    for a, b in kept:
+        covered[a:b] = b"\x01" * (b - a)
+    for m in marks:
+        solid[m.start : m.end] = b"\x01" * (m.end - m.start)
+    linked = bytearray(len(t))
+    for a, b in links:
+        linked[a:b] = b"\x01" * (b - a)
+    out, at = [], 0
+    cuts = sorted({*breaks, *(m.start() for m in re.finditer("\n", t)), len(t)})
+    for end in cuts:
+        a, b, at = at, end, end
+        shown = "".join(c for c, x in zip(t[a:b], solid[a:b], strict=True) if not x).strip() if any(solid[a:b]) else t[a:b].strip()
+        around = tuple(i for x, y, i in furniture if x <= a and b <= y)
+        if not shown or not around and (any(covered[a:b]) or re.match(r"[-+*•#|\\]|\d+[.)]", shown) or _CELL.search(t, a, b)):
+            continue
+        words = len(shown.split())
+        own = sum(1 for c, x in zip(t[a:b], linked[a:b], strict=True) if x and not c.isspace())
+        control = bool(CONTROLS.fullmatch(shown.rstrip(".:>» ")))
+        ends = shown[-1] in ".!?:;”\"'"
+        features = ("words:10" if words >= 10 else "words:3" if words >= 3 else "words:0", "ends" if ends else "open", "linked" if 2 * own >= len(shown) else "unlinked", "control" if control else "no control")
+        out.append(Block(a, b, features, bool(around or control), around))
+    return out
+
+
+def _counted(texts: list[str]) -> str:
+    """Counts of shapes among blocks that are boilerplate by place or wording and among the others, as JSON."""
+    seen: dict[str, Counter] = {"1": Counter(), "0": Counter()}
+    for text in texts:
+        t = skeleton(text)
+        for b in find_blocks(t, find_marks(t)):
+            seen["1" if b.known else "0"].update(("", *b.features))
+    return json.dumps(seen)
+
+
+def _pooled(counts: list[str]) -> dict[str, float]:
+    """Log-odds of boilerplate for each shape; both classes begin with FIT_PRIOR blocks that agree with the starting odds."""
+    seen = {k: sum((Counter(json.loads(c)[k]) for c in counts), Counter()) for k in "10"}
+
+    def share(k: str, f: str, odds: float) -> float:
+        return (seen[k][f] + FIT_PRIOR / (1 + math.exp(-odds))) / (seen[k][""] + FIT_PRIOR)
+
+    return {f: math.log(share("1", f, o / 2) / share("0", f, -o / 2)) for f, o in BLOCK_ODDS.items()}
+
+
+def fit_blocks(texts: list[str]) -> dict[str, float]:
+    """Log-odds of boilerplate for each shape of a block, from the blocks of some texts."""
+    return _pooled([_counted(texts)])
+
+
+def label(t: str, marks: list[Mark], blocks: list[Block] = (), odds: dict[str, float] | None = None) -> tuple[list[tuple[Mark, str]], list[Block]]:
+    """(constructs that are markup, each with the language it counts for; blocks that are boilerplate), by one cut of both."""
     if not marks:
-        return []
-    is_markup = min_cut([(m.content, m.markup) for m in marks], _edges(marks, t, 0.7))
-    kept = [m for m, x in zip(marks, is_markup, strict=True) if x]
+        return [], []
+    costs, edges = [(m.content, m.markup) for m in marks], _edges(marks, t, 0.7)
+    for i, b in enumerate(blocks, len(marks)):
+        score = BIAS + sum((odds or BLOCK_ODDS)[f] for f in b.features)
+        costs.append((max(score, 0.0), max(-score, 0.0)))
+        edges += [(k, i, 4.0) for k in b.inside]
+        if i > len(marks):
+            edges.append((i - 1, i, 0.5 / (1 + (b.start - blocks[i - len(marks) - 1].end) / 200)))
+    residue = min_cut(costs, edges)
+    kept = [m for m, x in zip(marks, residue, strict=False) if x]
+    dropped = [b for b, x in zip(blocks, residue[len(marks) :], strict=True) if x]
     if not kept:
-        return []
+        return [], dropped
     best = [min(m.language, key=m.language.get) for m in kept]
     if any(len(m.language) > 1 for m in kept):
         # Two languages are told apart at a time; constructs of neither keep out of that cut.
@@ -241,13 +355,13 @@ def label_marks(t: str, marks: list[Mark]) -> list[tuple[Mark, str]]:
             for i, m, second in zip(at, sub, min_cut(costs, _edges(sub, t, 1.0)), strict=True):
                 if a in m.language and b in m.language:
                     best[i] = b if second else a
-    return list(zip(kept, best, strict=True))
+    return list(zip(kept, best, strict=True)), dropped
 
 
 def languages(text: str) -> list[str]:
     """Markup languages that occur in a text, however little."""
     t = skeleton(text)
-    return sorted({x for _, x in label_marks(t, find_marks(t))})
+    return sorted({x for _, x in label(t, find_marks(t))[0]})
 
 
 _BLOCKS = re.compile(r"</?(?:p|div|section|article|header|footer|nav|table|tr|ul|ol|dl|blockquote|figure|html|head|body|center|form|main|aside|tbody|thead)\b[^<>]*>|<(?:br|hr)\b[^<>]*>", re.IGNORECASE)
@@ -267,6 +381,8 @@ _MATHS = frozenset("equation align gather multline displaymath math eqnarray fla
 _VERBATIM = frozenset("verbatim Verbatim lstlisting minted alltt".split())
 #: Formulas of LaTeX of any length, also over several lines of one paragraph.
 _LONG_FORMULA = re.compile(r"(?<![\\\w$])\$(?=[^\s$])(?:[^$\n\\]|\\.|\n(?![ \t]*\n))+?(?<=[^\s\\])\$(?![\w$])", re.DOTALL)
+# Templates that stand for notes, boxes and sorting.
+_SILENT = re.compile(r"cit|sfn|harv|ref|note|efn|infobox|navbox|short description|defaultsort|authority|coord|use |#", re.IGNORECASE)
 _BULLET = re.compile(r"^[*#:;]+(?=[ \t]+\S)", re.MULTILINE)
 _TIE = re.compile(r"(?<=\S)~(?=\S)")
 
@@ -354,8 +470,12 @@ class Rewrite:
             return self.put(m.start, m.end, "\n" if closing else "\n# ")
         if name == "li":
             return self.put(m.start, m.end, "" if closing else "\n- ")
-        if name in ("td", "th") and not closing and (before := re.search(r"</t[dh]>\s*$", self.read[max(0, m.start - 200) : m.start], re.IGNORECASE)):
-            return self.put(m.start - len(before.group()), m.end, " | ")
+        if name in ("td", "th") and not closing:
+            at = m.start
+            while at and self.read[at - 1].isspace():
+                at -= 1
+            if self.read[max(0, at - 5) : at].lower() in ("</td>", "</th>"):
+                return self.put(at - 5, m.end, " | ")
         self.put(m.start, m.end, "\n" if _BLOCKS.fullmatch(s) else "")
 
     def entity(self, m: Mark, language: str) -> None:
@@ -366,12 +486,9 @@ class Rewrite:
         if s.startswith("[["):
             if re.match(r"\[\[(?:Category|File|Image):", s, re.IGNORECASE):
                 return self.put(*self.line(m))
-            bar = s.find("|")
-            if bar > 0 and ":" in s[:bar]:
-                # "Topic:word|see" shows a word of the sentence as its target
-                self.put(m.start, m.start + s.index(":") + 1)
-                return self.put(m.start + bar, m.end)
-            self.put(m.start, m.start + (s.rfind("|") + 1 if bar > 0 else 2))
+            # what is shown is the label behind the last bar, or the target
+            bar = s.rfind("|")
+            self.put(m.start, m.start + (bar + 1 if bar > 0 else 2))
             return self.put(m.end - 2, m.end)
         if "](" in s:
             self.put(m.start, m.start + 1 + (s[0] == "!"))
@@ -385,8 +502,10 @@ class Rewrite:
     magic = note
 
     def template(self, m: Mark, language: str) -> None:
-        shown = re.fullmatch(r"\{\{term\|([^{}|\n]+)\}\}", self.read[m.start : m.end])
-        self.whole(m.start, m.end, self.t[m.start + shown.start(1) : m.start + shown.end(1)] if shown else "")
+        """A template shows its last unnamed argument; those that cite, name or sort show nothing in the text."""
+        name, *arguments = self.t[m.start + 2 : m.end - 2].split("|")
+        shown = [x.strip() for x in arguments if "=" not in x]
+        self.whole(m.start, m.end, shown[-1] if shown and not _SILENT.match(name.strip()) else "")
 
     def heading(self, m: Mark, language: str) -> None:
         s = self.read[m.start : m.end]
@@ -493,8 +612,8 @@ class Rewrite:
         self.whole(m.start, end + (t[end : end + 1] in (" ", "\t")), "")
 
 
-def clean_text(text: str) -> tuple[str, list[str]]:
-    """(text without markup, languages found).
+def clean_text(text: str, odds: dict[str, float] | None = None) -> tuple[str, list[str]]:
+    """(text without markup and boilerplate, languages found); ``odds`` are those of :func:`fit_blocks`.
 
     Only constructs that the cut took for markup are rewritten, each by its kind
     and language.  Headings come out as lines ``# heading``, list items as
@@ -506,11 +625,14 @@ def clean_text(text: str) -> tuple[str, list[str]]:
     if len(read) != len(t):
         # a letter whose Latin reading is longer: places must agree
         read = "".join(x if len(x) == 1 else c for c, x in ((c, skeleton(c)) for c in t))
-    marks = label_marks(read, find_marks(read))
+    every = find_marks(read)
+    marks, dropped = label(read, every, find_blocks(read, every) if every else (), odds)
     found = sorted({x for _, x in marks})
     if not found:
         return text, found
     r = Rewrite(t, read, marks)
+    for b in dropped:
+        r.whole(b.start, b.end, "\n")
     # code and formulas first: what stands in them is no construct of its own
     for m, language in marks:
         if m.kind == "code" or m.kind == "command" and r.environment(m):
@@ -551,11 +673,17 @@ def document_markup(docs: DataFrame) -> DataFrame:
 
 
 def document_text(docs: DataFrame) -> DataFrame:
-    """``(doc_id, markups, clean)``: every document of ``(doc_id, text)`` as clean text; NULL texts come out as ''."""
+    """``(doc_id, markups, clean)``: every document of ``(doc_id, text)`` as clean text; NULL texts come out as ''.
+
+    The block classifier is fitted on FIT_DOCS documents with a tag or link at most, chosen by hash.
+    """
+    some = docs.select("doc_id", "text").where(F.col("text").rlike(r"<[a-zA-Z]|\]\(|\[\[")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
+    parts = some.select("text").repartition(8).mapInPandas(lambda batches: (pd.DataFrame({"odds": [_counted(list(b["text"]))]}) for b in batches), "odds string").collect()
+    odds = _pooled([r["odds"] for r in parts])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [clean_text(t or "") for t in b["text"]]
+            got = [clean_text(t or "", odds) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "markups": [x[1] for x in got], "clean": [x[0] for x in got]})
 
     return docs.select("doc_id", "text").mapInPandas(read, "doc_id long, markups array<string>, clean string")

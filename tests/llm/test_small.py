@@ -82,6 +82,29 @@ def test_markup_clean_rewrites_only_what_was_found():
     assert p1.clean_text("")[0] == "" and p1.clean_text("5 < 7 % no\n% line")[0] == "5 < 7 % no\n% line"
 
 
+def test_constructs_of_any_length():
+    long = "word " * 200
+    for text, found in ((f'<a title="{long}">x</a>', ["html"]), (f"[[{long}|y]]", ["wiki"]), (f"{{{{box|a={long}\n|{long}}}}}", ["wiki"]), (f"It is **{long.strip()}**.", ["markdown"]), (f"[{long}](http://x.y/{'z' * 900})", ["markdown"]), (f"$\\alpha + {long}$", ["latex"])):
+        assert p1.languages(text) == found
+        assert not p1.languages(p1.clean_text(text)[0]) or found == ["latex"]
+    deep = "<ul>" * 30 + "<li>x" + "</ul>" * 30
+    assert len(p1._elements(p1.find_marks(deep), deep)) == 30
+
+
+def test_links_and_templates():
+    assert p1.clean_text("A [[Topic:word|label]] and {{lang|fr|mot}}{{cite book|x}} of {{nowrap|two words}}.")[0] == "A label and mot of two words."
+
+
+def test_boilerplate_is_cut_from_content():
+    prose = "The people of the town said that it was not the first time that the river had been so high."
+    page = f"<html><nav><a href='/'>Home</a>\n<a href='/s'>Search the site</a></nav><h1>Log in</h1><p>{prose}</p><p>Short one</p><ul><li>Menu</li></ul><footer>Imprint of the site</footer><button>Subscribe</button></html>"
+    clean = p1.clean_text(page)[0]
+    assert clean == f"# Log in\n\n{prose}\n\nShort one\n\n- Menu"
+    # fitted odds: what is learned from blocks of known class goes to those of none
+    odds = p1.fit_blocks([page] * 50)
+    assert odds["words:10"] < 0 < odds["control"] and odds["ends"] < odds["open"] and p1.clean_text(page, odds)[0] == clean
+
+
 # --- problem 2 --------------------------------------------------------------
 
 
