@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.llm.hot import BLOCK
 from claimloom.llm.lookalike import OTHERS, Lattice, fold
 from claimloom.scratch import Scratch
 
@@ -80,20 +81,49 @@ def canonical_keys(texts: DataFrame) -> DataFrame:
     return plain.unionByName(other)
 
 
+def mixed_rows(keys: DataFrame) -> DataFrame:
+    """Rows of ``(tbl, id, key, raw)`` whose key has more than one written form.
+
+    The keys are written once: texts are read and brought to their form one time, and digests are all that is shuffled.
+    """
+    scratch = Scratch(keys.sparkSession, "lookalikes")
+    keys = scratch.cut(keys, "keys")
+    mixed = keys.groupBy("tbl", "key").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("tbl", "key")
+    rows = scratch.cut(keys.join(mixed, ["tbl", "key"], "left_semi"), "mixed")
+    scratch.drop(keys)
+    return rows
+
+
 def lookalike_pairs(keys: DataFrame) -> DataFrame:
     """Pairs of rows of ``(tbl, id, key, raw)`` with one key but different written forms: ``(tbl, id_a, id_b)``.
 
     Written forms are paired first, rows after that, so copies of one string
-    are never compared with each other and only true pairs are made.
+    are never compared with each other and only true pairs are made.  The rows
+    of a form with many copies are dealt to parts, each of which meets the
+    other form's parts by itself.
     """
-    mixed = keys.groupBy("tbl", "key").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("tbl", "key")
-    rows = Scratch(keys.sparkSession, "lookalikes").cut(keys.join(mixed, ["tbl", "key"], "left_semi"), "mixed")
-    forms = rows.select("tbl", "key", "raw").distinct()
-    pairs = forms.join(forms.withColumnRenamed("raw", "raw_b"), ["tbl", "key"]).where("raw < raw_b")
-    ends = pairs.join(rows.withColumnRenamed("id", "x"), ["tbl", "key", "raw"]).join(rows.select("tbl", "key", F.col("raw").alias("raw_b"), F.col("id").alias("y")), ["tbl", "key", "raw_b"])
+    rows = mixed_rows(keys)
+    forms = rows.groupBy("tbl", "key", "raw").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(forms, ["tbl", "key", "raw"]).select("tbl", "key", "raw", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    parts = forms.select("tbl", "key", "raw", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    other = parts.select("tbl", "key", F.col("raw").alias("raw_b"), F.col("part").alias("part_b"))
+    pairs = parts.join(other, ["tbl", "key"]).where("raw < raw_b")
+    ends = pairs.join(rows.withColumnRenamed("id", "x"), ["tbl", "key", "raw", "part"]).join(rows.select("tbl", "key", F.col("raw").alias("raw_b"), F.col("part").alias("part_b"), F.col("id").alias("y")), ["tbl", "key", "raw_b", "part_b"])
     return ends.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def lookalike_classes(keys: DataFrame) -> DataFrame:
+    """``(tbl, id, class_id, n_links)``: rows that look like rows of another written form, without all pairs.
+
+    ``class_id`` is the least id that looks the same, ``n_links`` the number of rows of other forms.
+    """
+    rows = mixed_rows(keys)
+    forms = rows.groupBy("tbl", "key", "raw").agg(F.count("*").alias("own"), F.min("id").alias("least"))
+    whole = forms.groupBy("tbl", "key").agg(F.sum("own").alias("n"), F.min("least").alias("class_id"))
+    of = forms.join(whole, ["tbl", "key"]).select("tbl", "key", "raw", "class_id", (F.col("n") - F.col("own")).alias("n_links"))
+    return rows.join(of, ["tbl", "key", "raw"]).select("tbl", "id", "class_id", "n_links")
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
     sents = spark.read.parquet(f"{sf}/sentences.parquet").select(F.lit("sentences").alias("tbl"), F.col("row_id").alias("id"), F.col("clean").alias("text"))
@@ -104,10 +134,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(canonical_keys(_texts(spark, sf).where("text <> ''")))
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike_classes(canonical_keys(_texts(spark, sf).where("text <> ''")))
+
+
 def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """The canonical text of every text that isn't ASCII already."""
     return canonical_texts(_texts(spark, sf)).select("tbl", "id", "clean")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_canonical": p3_canonical}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_classes": p3_classes, "p3_canonical": p3_canonical}
 SQL: dict[str, str] = {}

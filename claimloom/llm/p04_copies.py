@@ -2,7 +2,7 @@
 
 Exact per-key counts (partial counts first) tell the hot canonical keys.  Their
 rows go through a two-level, salted aggregation; all other rows through one
-shuffle.  The representative is the least identifier.
+shuffle (besides that of the counts).  The representative is the least identifier.
 """
 
 from __future__ import annotations
@@ -52,10 +52,11 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 def _kept(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of hot keys, hot key -> least id and count, rows of the other keys)."""
-    rows = Scratch(rows.sparkSession, "copies").cut(rows.select("id", "key"), "rows")
-    total = rows.count()
+    scratch = Scratch(rows.sparkSession, "copies")
+    rows = scratch.cut(rows.select("id", "key"), "rows", n=F.count("*"))
+    total = scratch.seen["n"]
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    hot = hot_keys(counts, "n", total).select("key")
+    hot = scratch.cut(hot_keys(counts, "n", total).select("key"), "hot")
     of_hot = rows.join(F.broadcast(hot), "key", "left_semi")
     salt = of_hot.withColumn("salt", salted("id")).groupBy("key", "salt").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     kept = salt.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n_copies"))

@@ -13,26 +13,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm.hot import hot_keys
+from claimloom.llm.hot import hot_keys, hot_threshold
 from claimloom.scratch import Scratch
 
 
-def _state(rows: DataFrame) -> tuple[int, int, int]:
-    """Order-free fingerprint of a set of rows (three numbers reach the driver)."""
+def _state() -> dict:
+    """Order-free fingerprint of a set of rows, taken while they are written."""
     h = F.xxhash64("v", "u")
-    r = rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["x"] or 0, int(r["s"] or 0)
-
-
-def _round(rows: DataFrame, total: int) -> DataFrame:
-    least = rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-    hot = F.broadcast(hot_keys(least, "n", total))
-    # Rows of hot vertices meet their minimum by a broadcast of at most HOT_SHARE rows,
-    # the others by an ordinary join on v.
-    cold = rows.join(hot.select("v"), "v", "left_anti").join(least.select("v", "m"), "v")
-    both = rows.join(hot.select("v", "m"), "v").unionByName(cold)
+    return {"n": F.count("*"), "x": F.bit_xor(h), "s": F.sum(h.cast("decimal(38,0)"))}
+
+
+def _round(scratch: Scratch, rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows after a round, table of minima they are read with)."""
+    least = scratch.cut(rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "least", most=F.max("n"))
+    if (scratch.seen["most"] or 0) < hot_threshold(total):
+        both = rows.join(least.select("v", "m"), "v")
+    else:
+        # Rows of hot vertices meet their minimum by a broadcast of at most HOT_SHARE rows,
+        # the others by an ordinary join on v.
+        hot = F.broadcast(hot_keys(least, "n", total).select("v", "m"))
+        cold = rows.join(hot.select("v"), "v", "left_anti").join(least.select("v", "m"), "v")
+        both = rows.join(hot, "v").unionByName(cold)
     sent = both.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-    return sent.select("e.v", "e.u").distinct()
+    return sent.select("e.v", "e.u").distinct(), least
 
 
 def hash_to_min(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -48,13 +51,13 @@ def hash_to_min(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     scratch = Scratch(spark, "hash-to-min")
     e = pairs.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v is not null and u is not null").distinct()
     start = e.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("v").alias("u")), F.struct(F.col("u").alias("v"), "u"))).alias("e"))
-    rows = scratch.cut(start.select("e.v", "e.u").distinct(), "c")
-    state = _state(rows)
+    rows = scratch.cut(start.select("e.v", "e.u").distinct(), "c", **_state())
+    state = scratch.seen
     for _ in range(max_rounds):
-        after = scratch.cut(_round(rows, state[0]), "c")
-        scratch.drop(rows)
-        now = _state(after)
-        rows, done, state = after, now == state, now
+        after, least = _round(scratch, rows, state["n"])
+        after = scratch.cut(after, "c", **_state())
+        scratch.drop(rows, least)
+        rows, done, state = after, scratch.seen == state, scratch.seen
         if done:
             return rows.groupBy("v").agg(F.min("u").alias("group_id"))
     raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")

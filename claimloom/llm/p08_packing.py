@@ -15,12 +15,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.scratch import Scratch
 
 CAPACITY = 2048
+#: The plan is made on the driver from at most `capacity` lengths, in time that grows with its square (2,048: under a second).
+MOST_CAPACITY = 32_768
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Ranks are taken inside (chunk, length); a chunk holds about this many items.
 CHUNK_ROWS = 20_000
@@ -44,10 +47,15 @@ def _encoder(vocabulary: str):
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens)``; NULL or empty texts have 0 tokens.  Whole texts are tokenized."""
+    """``(doc_id, n_tokens)``; NULL or empty texts have 0 tokens.  Whole texts are tokenized.
+
+    ``vocabulary`` need exist on the driver only: it is sent to the executors.
+    """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = vocabulary.rstrip("/").rsplit("/", 1)[-1]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": np.fromiter((len(encode(t)) if t else 0 for t in b["text"]), "int64", len(b))})
 
@@ -173,8 +181,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length counts as none.  Repeated ids are repeated items.  Every other text
     is placed exactly once.
     """
-    if capacity < 1:
-        raise ValueError("capacity must be at least 1")
+    if not 1 <= capacity <= MOST_CAPACITY:
+        raise ValueError(f"capacity must be between 1 and {MOST_CAPACITY}")
     spark = lengths.sparkSession
     scratch = Scratch(spark, "packing")
     n, cap = F.col("n_tokens"), F.lit(capacity).cast("long")
@@ -207,11 +215,28 @@ def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return pack(token_counts(spark.read.parquet(f"{sf}/documents.parquet")))
 
 
+def p8_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What the packing must keep, counted over all documents and containers: one row."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lengths = Scratch(spark, "lengths").cut(token_counts(docs).where("n_tokens > 0"), "lengths")
+    packed = Scratch(spark, "packed").cut(pack(lengths), "packed")
+    of = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("pieces"))
+    of = lengths.join(of, "doc_id", "full").agg(
+        F.count("n_tokens").alias("n_texts"),
+        F.count_if(F.col("n_tokens") == F.col("held")).alias("n_whole"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("n_split_short"),
+    )
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("held"), F.max(F.col("at") + F.col("n_tokens")).alias("end"))
+    full = full.agg(F.count_if((F.col("held") > CAPACITY) | (F.col("held") != F.col("end"))).alias("n_overfull_or_gaps"))
+    return of.join(full, F.lit(True))
+
+
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     """How full the containers are: their number by tokens held."""
     held = p8_pack(spark, sf).groupBy("container").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("pieces"))
     return held.groupBy("held").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces")).withColumn("capacity", F.lit(CAPACITY))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_pack": p8_pack, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p8_totals": p8_totals}
+# SQL has no tokenizer, but it knows how many texts there are, and that nothing may be lost, split or overfull.
+SQL: dict[str, str] = {"p8_totals": "SELECT count(*) AS n_texts, count(*) AS n_whole, 0::BIGINT AS n_split_short, 0::BIGINT AS n_overfull_or_gaps FROM documents WHERE text <> ''"}

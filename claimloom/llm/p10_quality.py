@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.lookalike import IGNORABLE, TO_LATIN
@@ -18,6 +18,8 @@ from claimloom.scratch import Scratch
 
 #: Languages with fewer documents than this share are measured against all documents, so there are at most 1/share + 1 sketches.
 LANGUAGE_SHARE = 0.002
+#: Common words learned of a language that has no list.
+LEARNED = 60
 #: 1/error of the quantile sketches.
 ACCURACY = 2000
 
@@ -51,16 +53,38 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0)).cast("double")
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
+def _language(lang: str = "lang") -> Column:
+    return F.lower(F.trim(F.coalesce(lang, F.lit(""))))
+
+
+def learned_common(docs: DataFrame) -> dict[str, str]:
+    """Common words of the languages that COMMON doesn't know: those that most of a language's documents hold, LEARNED of them.
+
+    Counted over all documents of such languages; only frequent languages are learned, so there are few.
+    """
+    other = docs.where((_language() != "") & ~_language().isin(*COMMON)).select(_language().alias("lang"), "text")
+    total, counts = docs.count(), other.groupBy("lang").agg(F.count("*").alias("n"))
+    frequent = [r["lang"] for r in counts.where(F.col("n") >= max(30, LANGUAGE_SHARE * total)).collect()]  # at most 1/LANGUAGE_SHARE
+    if not frequent:
+        return {}
+    words = F.array_distinct(F.filter(F.split(F.lower(_plain(F.coalesce("text", F.lit("")))), r"[^\p{L}]+"), lambda w: w != ""))
+    held = other.where(F.col("lang").isin(*frequent)).select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    best = held.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= LEARNED)
+    return {r["lang"]: r["words"] for r in best.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("w")), " ").alias("words")).collect()}
+
+
+def text_statistics(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
     """Statistics of ``(doc_id, text, lang)``: one row per row, computed in the JVM over the whole text.
 
+    ``learned`` are common words of further languages, of which a document counts those of its own.
+
     NULL texts count as empty; an empty text has 0 words and zeros everywhere.
     Language codes are compared without case; a missing one becomes that of COMMON
     whose words the text has most of, or '' if it has none.
     """
     common = sorted({w for words in COMMON.values() for w in words.split()})
     controls = CONTROLS.split("|")
-    t = docs.select("doc_id", F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang"), _plain(F.coalesce("text", F.lit(""))).alias("t"))
+    t = docs.select("doc_id", _language().alias("lang"), _plain(F.coalesce("text", F.lit(""))).alias("t"))
     t = t.select("doc_id", "lang", "t", F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"), F.filter(F.transform(F.split("t", r"[\n\f\r]+"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
     t = t.withColumn("joined", F.array_join("w", ""))
     w, lines = F.col("w"), F.col("lines")
@@ -83,6 +107,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     def among(words: list[str]) -> Column:
         return F.size(F.filter(w, lambda x: x.isin(*words)))
 
+    n_common = among(common)
+    for lang, held in (learned or {}).items():
+        n_common = F.when(F.col("lang") == lang, among(held.split())).otherwise(n_common)
     most = F.array_max(F.array(*(F.struct(among(words.split()).alias("n"), F.lit(lang).alias("lang")) for lang, words in COMMON.items())))
     return t.select(
         "doc_id",
@@ -92,7 +119,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         _share(alnum, n_words).alias("mean_word"),
         _share(solid - alnum, solid).alias("symbol_ratio"),
         _share(F.size(F.filter(lines, ends)), n_lines).alias("line_end_share"),
-        _share(among(common), n_words).alias("common_share"),
+        _share(n_common, n_words).alias("common_share"),
         _share(alnum - F.length(F.translate("joined", "0123456789", "")), alnum).alias("digit_ratio"),
         _share(alnum - F.length(F.translate("joined", "aeiouyáéíóúàèìòùâêîôûäëïöüœæ", "")), alnum).alias("vowel_ratio"),
         _share(F.size(F.array_distinct(w)).cast("double"), F.sqrt(n_words)).alias("variety"),
@@ -167,7 +194,7 @@ def classify(z: DataFrame) -> DataFrame:
 
 def document_quality(docs: DataFrame) -> DataFrame:
     """All statistics, z-scores and the class of each document of ``(doc_id, text, lang)``."""
-    stats = Scratch(docs.sparkSession, "quality").cut(text_statistics(docs), "stats")
+    stats = Scratch(docs.sparkSession, "quality").cut(text_statistics(docs, learned_common(docs)), "stats")
     return classify(z_scores(stats, language_sketches(stats)))
 
 

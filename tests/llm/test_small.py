@@ -160,6 +160,16 @@ def test_lookalike_pairs(spark):
     assert p3.lookalike_pairs(p3.canonical_keys(t.where("false"))).count() == 0
 
 
+def test_lookalikes_of_a_hot_string(spark, monkeypatch):
+    monkeypatch.setattr(p3, "BLOCK", 7)
+    rows = [("d", i, "the cat" if i % 3 else "the c\u0430t" if i % 2 else "the\u00a0cat") for i in range(90)] + [("d", 100, "the dog"), ("d", 101, "the dog")]
+    keys = p3.canonical_keys(spark.createDataFrame(rows, "tbl string, id long, text string"))
+    want = {("d", a, b) for a in range(90) for b in range(a + 1, 90) if rows[a][2] != rows[b][2]}
+    assert {tuple(r) for r in p3.lookalike_pairs(keys).collect()} == want
+    links = {i: sum(i in p[1:] for p in want) for i in range(90)}
+    assert {r["id"]: (r["class_id"], r["n_links"]) for r in p3.lookalike_classes(keys).collect()} == {i: (0, n) for i, n in links.items()}
+
+
 # --- problem 4 --------------------------------------------------------------
 
 
@@ -428,6 +438,15 @@ def test_components(spark):
     assert p7.hash_to_min(df.where("false")).count() == 0
 
 
+def test_components_with_a_hot_vertex(spark, monkeypatch):
+    from claimloom.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_LEAST", 20)
+    pairs = [(5, i) for i in range(6, 200)] + [(300, 301), (301, 302)]
+    got = {r["v"]: r["group_id"] for r in p7.hash_to_min(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 5 for i in range(5, 200)}, 300: 300, 301: 300, 302: 300}
+
+
 # --- problem 8 --------------------------------------------------------------
 
 
@@ -522,6 +541,17 @@ def test_quality(spark):
     assert p10.document_quality(docs(spark, []).where("false")).count() == 0
 
 
+def test_common_words_of_a_language_without_a_list(spark):
+    rng = random.Random(4)
+    small = "ja on ei se kun niin myös oli".split()
+    prose = [" ".join(x for _ in range(30) for x in (rng.choice(small), "".join(rng.choice("aeiklmnpstu") for _ in range(7)))) + "." for _ in range(60)]
+    lists = ["\n".join(f"- {''.join(rng.choice('aeiklmnpstu') for _ in range(7))} {''.join(rng.choice('aeiklmnpstu') for _ in range(8))}" for _ in range(9)) for _ in range(20)]
+    d = spark.createDataFrame([(i, t, "FI") for i, t in enumerate(prose + lists)], "doc_id long, text string, lang string")
+    assert set(small) <= set(p10.learned_common(d)["fi"].split())
+    got = {r["doc_id"]: r["doc_class"] for r in p10.document_quality(d).collect()}
+    assert [got[i] for i in range(80)] == ["prose"] * 60 + ["list"] * 20
+
+
 PROSE_WORDS = "group lines house people river study model result effect sample".split()
 
 
