@@ -143,7 +143,7 @@ class Thesaurus:
             if i + 1 < len(toks):
                 two = t + toks[i + 1]
                 if len(two) > 3 and two not in self.words.words or two in self.words.words and toks[i + 1] not in FRAMES:
-                    for d, _, w in self.words.lookup(two) if edits_allowed(two) else ():
+                    for d, _, w in self.words.lookup(two, 1) if edits_allowed(two) else ():
                         if d == 0 or len(w) >= 6 and d < 1:
                             found[w].append((d + 0.5, (i, i + 1)))
             for near, at in ((t, (i,)), (t + toks[i + 1], (i, i + 1))) if i + 1 < len(toks) else ((t, (i,)),):
@@ -158,7 +158,8 @@ class Thesaurus:
                     found[w].append((d + 0.2, (i,)))
         core = [t for i, t in enumerate(toks) if t not in FRAMES and not t.isdigit() and not (i and toks[i - 1] in ("among", "amongst"))]
         whole = "".join(core)
-        if len(whole) >= 10 and 1 < len(core) <= 6:
+        # words that are all spelt as in some label weren't parted or joined wrongly
+        if len(whole) >= 10 and 1 < len(core) <= 6 and not all(t in self.words.words for t in core):
             for d, f, w in self.joined.lookup(whole):
                 if d <= 1.8:
                     hits += [(d + 0.4, f, self.labels[k][0]) for k in self.of_joined[w]]

@@ -136,6 +136,33 @@ def test_concept_in_a_long_span(spark):
     assert [x["concept_id"] for x in p2.map_spans(r, c).collect()] == ["c1"]
 
 
+def _full_distance(a, b):
+    """The same distance by recursion over all alignments."""
+    from functools import cache
+
+    @cache
+    def d(i, j):
+        if not i or not j:
+            return float(i + j)
+        x, y = a[i - 1], b[j - 1]
+        c = [d(i - 1, j - 1) + (0 if x == y else 0.8 if x in "aeiouy" and y in "aeiouy" else 1), d(i - 1, j) + (0.7 if i > 1 and a[i - 2] == x else 1), d(i, j - 1) + (0.7 if j > 1 and b[j - 2] == y else 1)]
+        if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
+            c.append(d(i - 2, j - 2) + 0.8)
+        return min(c)
+
+    return d(len(a), len(b))
+
+
+def test_distance_in_a_band():
+    rng = random.Random(5)
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("abce") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        want = _full_distance(a, b)
+        for most in (1.8, 2.0, 9.0):
+            got = distance(a, b, most)
+            assert abs(got - want) < 1e-9 if want <= most else got > most
+
+
 def test_spelling():
     assert distance("abcd", "abdc") == 0.8 and distance("abc", "abc") == 0 and distance("a", "abcdef", 2) > 2
     d = Dictionary({"fatigue": 3, "trust": 1})
