@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
+from claimloom.operators.ranks import global_rank
 
 Step = Callable[[DataFrame], DataFrame]
+PARAGRAPH = ("doc_id", "para", "page", "section", "text")
 
 # Line patterns.
 REFERENCES = r"(?i)^#{1,6}\s*(references|bibliography|notes?|acknowledge?ments?)\s*$"
@@ -82,7 +84,7 @@ def drop_junk_lines(rows: DataFrame) -> DataFrame:
 
 
 def join_paragraphs(rows: DataFrame) -> DataFrame:
-    """Kept lines to paragraphs ``(doc_id, para, page, section, text)``, numbered by ``para`` from 0 within a document.
+    """Kept lines to paragraphs, numbered by ``para`` from 0 within a document; dropped lines go along with no ``para``.
 
     A dropped line closes a paragraph; a word cut by a hyphen is joined; a
     paragraph without final punctuation merges with a next one that starts
@@ -102,25 +104,35 @@ def join_paragraphs(rows: DataFrame) -> DataFrame:
     blocks = Window.partitionBy("doc_id").orderBy("_block")
     joins = ~F.lag("text").over(blocks).rlike(T.TERMINAL) & F.col("text").rlike(r"^\p{Ll}")
     b = b.withColumn("para", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(blocks) - 1)
-    return b.groupBy("doc_id", "para").agg(F.min_by("page", "_block").alias("page"), F.min_by("section", "_block").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "text"))), lambda x: x["text"]), " ").alias("text"))
+    b = b.groupBy("doc_id", "para").agg(F.min_by("page", "_block").alias("page"), F.min_by("section", "_block").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "text"))), lambda x: x["text"]), " ").alias("text"))
+    b = b.select(*PARAGRAPH, F.lit(None).cast("long").alias("line_no"), F.lit(True).alias("kept"), F.lit("").alias("drop_reason"), F.lit("").alias("flag"))
+    return b.unionByName(rows.where("not kept").select("doc_id", F.lit(None).cast("long").alias("para"), "page", "section", "text", F.col("line_no").cast("long").alias("line_no"), "kept", "drop_reason", "flag"))
 
 
 _ENDS = re.compile(r"""[.!?]+["')\]]*(?=\s+|$)""")
+_NUMERIC = re.compile(r"-?[.,]?\d[\d,.-]*")
 _SHORT = frozenset(ABBREVIATIONS)
 
 
+def _goes_on(word: str, stop: str, after: str) -> bool:
+    """Whether a sentence goes on behind ``word`` and its ``stop``, by the published rules without any trained counts."""
+    if stop[0] != "." or not after:
+        return False
+    if stop.startswith("..") or word in _SHORT or word.rsplit("-", 1)[-1] in _SHORT:
+        return True  # an ellipsis or abbreviation; nothing tells that the next word opens a sentence
+    if len(word) == 1 and word.isalpha():
+        return True  # an initial
+    return bool(_NUMERIC.fullmatch(word)) and (after.islower() or not after.isalnum())
+
+
 def sentences_of(text: str) -> list[str]:
-    """Sentences of a paragraph: a stop ends one unless it belongs to an abbreviation, an initial or a number before lower case."""
+    """Sentences of a paragraph; closing quotes and brackets belong to the sentence before them."""
     out, start = [], 0
     for m in _ENDS.finditer(text):
         word = text[start : m.start()].rsplit(None, 1)[-1:] or [""]
-        word = word[0].lstrip("([\"'").lower()
-        after = text[m.end() :].lstrip()[:1]
-        if m.group()[0] == "." and after:
-            if word in _SHORT or len(word) == 1 and word.isalpha() or after.islower():
-                continue
-            if word.isdigit() and not after.isupper():
-                continue
+        stop = m.group().rstrip("\"')]")
+        if _goes_on(word[0].lstrip("([\"'").lower(), stop, text[m.end() :].lstrip()[:1]):
+            continue
         out.append(text[start : m.end()].strip())
         start = m.end()
     rest = text[start:].strip()
@@ -128,14 +140,41 @@ def sentences_of(text: str) -> list[str]:
 
 
 def split_sentences(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs to sentences with ids ``p0000s000``."""
+    """Paragraphs to sentences with ids ``p0000s000``; dropped rows go along without an id."""
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda t: sentences_of(t or ""))
 
-    e = paragraphs.select("doc_id", "para", "page", "section", F.posexplode(split("text")).alias("_s", "raw"))
-    return e.select("doc_id", "page", F.format_string("p%04ds%03d", "para", "_s").alias("sent_id"), "section", "raw", F.col("raw").alias("text"), F.lit(True).alias("kept"), F.lit("").alias("drop_reason"), F.lit("").alias("flag"))
+    cut = F.when(F.col("kept"), split("text")).otherwise(F.array("text"))
+    e = paragraphs.select("doc_id", "para", "page", "section", "line_no", "kept", "drop_reason", "flag", F.posexplode(cut).alias("_s", "raw"))
+    return e.select("doc_id", "page", F.when(F.col("kept"), F.format_string("p%04ds%03d", "para", "_s")).alias("sent_id"), "section", "raw", F.col("raw").alias("text"), "kept", "drop_reason", "flag", "line_no")
+
+
+def number_documents(rows: DataFrame) -> DataFrame:
+    """``(doc_id, doc_no)``: ``d000`` and so on, in the order of the names."""
+    docs = global_rank(rows.select("doc_id").distinct(), "doc_id", "_n", first=0)
+    return docs.select("doc_id", F.format_string("d%03d", "_n").alias("doc_no"))
+
+
+def prefix_ids(rows: DataFrame) -> DataFrame:
+    """Puts the document's number before the sentence ids, so that they are unique across documents."""
+    return rows.join(number_documents(rows), "doc_id").withColumn("sent_id", F.concat("doc_no", "sent_id")).select(*rows.columns)
+
+
+def kept_sentences(rows: DataFrame) -> DataFrame:
+    """The sentences of a harvest: kept rows that were split into sentences."""
+    return rows.where("kept and sent_id is not null").select("doc_id", "page", "sent_id", "section", "raw", F.col("text").alias("clean"), "flag")
+
+
+def drop_log(rows: DataFrame) -> DataFrame:
+    """What a harvest dropped, and why; blank lines are no loss and are left out."""
+    return rows.where("not kept and drop_reason <> 'blank'").select("doc_id", "page", "section", "drop_reason", "text")
+
+
+def harvest_summary(rows: DataFrame) -> DataFrame:
+    """Drop reasons, most frequent first."""
+    return rows.where("not kept").groupBy("drop_reason").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "drop_reason")
 
 
 def strip_citations(rows: DataFrame) -> DataFrame:
@@ -206,7 +245,10 @@ def page_set(spec) -> list[int] | None:
 
 
 def harvest(pages: DataFrame, steps: list[str | Step] | None = None, min_words: int = 4, max_words: int = 80, only=None, skip=None) -> DataFrame:
-    """Pages through the steps, named or callables; settings are checked before any plan is built."""
+    """Pages through the steps, named or callables; settings are checked before any plan is built.
+
+    No row is lost: :func:`kept_sentences` and :func:`drop_log` tell the rows apart.
+    """
     if min_words < 1 or max_words < min_words:
         raise ValueError(f"min_words and max_words must be 1 <= min <= max; got {min_words} and {max_words}")
     chosen: list[Step] = []

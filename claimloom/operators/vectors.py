@@ -52,11 +52,14 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def top_matches(scores: DataFrame, top: int = 5, threshold: float = 0.0) -> DataFrame:
-    """``(query, rank, id, score)`` of ``(query, id, ord, score)``: the best entry per concept, then the best concepts; ties by ``ord``."""
+    """``(query, rank, id, ord, score)`` of ``(query, id, ord, score)``: the best entry per concept, then the best concepts; ties by ``ord``.
+
+    Scores are compared as they are and rounded to four places afterwards.
+    """
     one = Window.partitionBy("query", "id").orderBy(F.desc("score"), "ord")
     best = scores.where(F.col("score") >= threshold).withColumn("_k", F.row_number().over(one)).where("_k = 1")
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("query", "rank", "id", F.round("score", 4).alias("score"))
+    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("query", "rank", "id", "ord", F.round("score", 4).alias("score"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -118,24 +121,47 @@ def single_linkage(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def _agglomerate(x: np.ndarray, threshold: float, linkage: str) -> np.ndarray:
-    """Average or complete linkage of one component, cut at cosine distance 1 - threshold; labels by least member."""
+    """Average or complete linkage of one component, cut at cosine distance 1 - threshold; labels by least member.
+
+    A chain of nearest neighbours ends in a pair that are each other's nearest, and such a pair may be
+    merged at once, for neither linkage ever makes a merged cluster nearer than its parts were.  So the work
+    is quadratic.  Ties go to the member before in the chain, then to the least cluster.
+    """
     n = len(x)
     d = np.clip(1 - x @ x.T, 0, 2)
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
+    size, parent, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    chain: list[int] = []
+    while True:
+        if not chain:
+            rest = np.flatnonzero(alive)
+            if not len(rest):
+                break
+            chain = [int(rest[0])]
+        i = chain[-1]
+        j = int(np.argmin(d[i]))
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
         if not d[i, j] <= 1 - threshold + 1e-12:
-            break
+            # nothing is near enough: this cluster is done, and so is no other, unless it is apart, too
+            alive[i] = False
+            d[i], d[:, i] = np.inf, np.inf
+            chain.pop()
+            continue
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        chain = chain[:-2]
         i, j = min(i, j), max(i, j)
         merged = np.maximum(d[i], d[j]) if linkage == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         merged[[i, j]] = np.inf
         d[i], d[:, i] = merged, merged
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return label
+        alive[j], parent[j] = False, i
+    for k in range(n):  # a cluster's name is less than those of the clusters merged into it
+        parent[k] = parent[parent[k]]
+    return parent
 
 
 def pairwise_grouping(vectors: DataFrame, threshold: float = 0.69, linkage: str = "average") -> DataFrame:

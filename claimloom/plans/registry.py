@@ -13,6 +13,7 @@ from claimloom.operators import dois as D
 from claimloom.operators import extract as X
 from claimloom.operators import harvest as H
 from claimloom.operators import labels as L
+from claimloom.operators import standardize as S
 from claimloom.operators import vectors as V
 from claimloom.scratch import Scratch
 
@@ -50,7 +51,19 @@ def lines_junk(spark, sf):
 
 @query
 def lines_paragraphs(spark, sf):
-    return H.join_paragraphs(H.drop_junk_lines(H.drop_running_heads(_lines(spark, sf))))
+    return H.join_paragraphs(H.drop_junk_lines(H.drop_running_heads(_lines(spark, sf)))).where("kept").select(*H.PARAGRAPH)
+
+
+@query
+def harvest_drop_log(spark, sf):
+    """Every dropped line with its reason, as it comes out behind the paragraphs."""
+    return H.drop_log(H.join_paragraphs(H.drop_junk_lines(H.drop_running_heads(_lines(spark, sf)))))
+
+
+@query
+def document_numbers(spark, sf):
+    """The numbers that make sentence ids unique across papers."""
+    return H.number_documents(table(spark, sf, "line_rows"))
 
 
 @query
@@ -58,12 +71,16 @@ def lines_drop_summary(spark, sf):
     return H.drop_junk_lines(H.drop_running_heads(_lines(spark, sf))).groupBy("drop_reason").agg(F.count("*").alias("n_lines"))
 
 
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages put together from the lines."""
+    lines = table(spark, sf, "line_rows").select("doc_id", "page", "line_no", F.coalesce("text", F.lit("")).alias("text"))
+    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("markdown"))
+
+
 @query
 def harvest_sentences(spark, sf):
-    """The whole pipeline over pages put together from the lines."""
-    lines = table(spark, sf, "line_rows").select("doc_id", "page", "line_no", F.coalesce("text", F.lit("")).alias("text"))
-    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("markdown"))
-    return H.harvest(pages).select("doc_id", "page", "sent_id", "section", "raw", F.col("text").alias("clean"), "kept", "drop_reason", "flag")
+    """The whole pipeline; sentence ids with the number of their paper."""
+    return H.kept_sentences(H.prefix_ids(Scratch(spark, "harvest").cut(H.harvest(_pages(spark, sf)), "rows")))
 
 
 _LINES = """
@@ -88,6 +105,9 @@ l4 AS (SELECT *, CASE WHEN NOT k1 THEN 'running_head' WHEN refs THEN 'reference_
 )
 SQL["lines_running_heads"] = _LINES + "SELECT line_id, k1 AS kept, CASE WHEN k1 THEN '' ELSE 'running_head' END AS drop_reason FROM l1"
 SQL["lines_junk"] = _JUNK + "SELECT line_id, CASE WHEN k1 AND NOT refs THEN sec ELSE '' END AS section, reason = '' AS kept, reason AS drop_reason FROM l4"
+SQL["harvest_drop_log"] = _JUNK + """SELECT doc_id, page, CASE WHEN k1 AND NOT refs THEN sec ELSE '' END AS section, reason AS drop_reason, coalesce(text, '') AS text
+  FROM l4 JOIN (SELECT line_id, text FROM line_rows) USING (line_id) WHERE reason NOT IN ('', 'blank')"""
+SQL["document_numbers"] = "SELECT doc_id, 'd' || lpad(CAST(rk AS VARCHAR), greatest(3, length(CAST(rk AS VARCHAR)))::INT, '0') AS doc_no FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rk FROM (SELECT DISTINCT doc_id FROM line_rows))"
 SQL["lines_drop_summary"] = _JUNK + "SELECT reason AS drop_reason, count(*) AS n_lines FROM l4 GROUP BY reason"
 SQL["lines_paragraphs"] = (
     _JUNK
@@ -123,6 +143,72 @@ def sentences_stripped(spark, sf):
     return H.strip_stats(H.strip_citations(H.strip_markdown(H.fix_unicode(_sentences(spark, sf))))).select("row_id", "text")
 
 
+_WORDS = r"list_filter(string_split_regex({t}, '\s+'), lambda w: w <> '')"
+
+
+def _sql_count(t: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({t}, '{pattern}'))"
+
+
+def _q(pattern: str) -> str:
+    """A pattern as SQL text."""
+    return pattern.replace("(?U)", "").replace("'", "''")
+
+
+def _sql_without(t: str, opening: str, closing: str, group: str, noise: str) -> str:
+    """Text without the groups in a bracket that are noise: ``noise`` is a condition on ``g``."""
+    groups = f"list_filter(regexp_extract_all({t}, '{group}', 1), lambda g: {noise})"
+    return f"list_reduce({groups}, lambda acc, g: replace(acc, '{opening}' || g || '{closing}', ''), {t})"
+
+
+_YEARS = _sql_count("g", _q(T.YEAR))
+_CITES = f"({_YEARS} > 0 AND ({_YEARS} >= 2 AND (contains(g, ';') OR contains(g, 'et al')) OR {_sql_count('g', '[A-Za-z]+')} <= 12 AND (regexp_matches(g, '[A-Z][a-z]+|et al\\.?|&|;') OR regexp_matches(trim(g), '^\\d+$'))))"
+_REPORTS = f"(regexp_matches(g, '{_q(T.STATISTIC)}') AND length(regexp_replace(g, '[\\p{{L}}\\s]', '', 'g')) > 0.15 * length(g) AND {_sql_count('g', '[A-Za-z]{4,}')} <= 4)"
+_ROUND, _SQUARE = r"\(([^()]{0,300}?)\)", r"\[([^\[\]]{0,300}?)\]"
+
+
+def _sql_strip(source: str, noise: str) -> str:
+    """A step that strips noise in round, then in square brackets, and tidies."""
+    tidy = "t"
+    for p, by in T.TIDY_GROUPS:
+        tidy = f"regexp_replace({tidy}, '{_q(p)}', '{by.replace('$', chr(92))}', 'g')"
+    return f"SELECT row_id, trim({tidy}) AS t FROM (SELECT row_id, {_sql_without('t', '[', ']', _SQUARE, noise)} AS t FROM (SELECT row_id, {_sql_without('t', '(', ')', _ROUND, noise)} AS t FROM {source}))"
+
+
+def _sql_unicode(t: str) -> str:
+    """Compatibility forms that the tables hold, then the table of quotes, dashes and spaces."""
+    wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    for ligature, letters in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("…", "..."), ("″", "′′"), ("\u202f", " "), ("\u205f", " ")):
+        t = f"replace({t}, '{ligature}', '{letters}')"
+    t = f"translate(nfc_normalize({t}), '{wide}', '{narrow}')"
+    old = T.SINGLE_QUOTES + T.DOUBLE_QUOTES + T.DASHES + T.ODD_SPACES
+    new = "''" * len(T.SINGLE_QUOTES) + '"' * len(T.DOUBLE_QUOTES) + "-" * len(T.DASHES) + " " * len(T.ODD_SPACES)
+    return f"translate({t}, '{old}{T.INVISIBLE}', '{new}')"
+
+
+SQL["sentences_stripped"] = rf"""
+WITH s0 AS (SELECT row_id, {_sql_unicode("coalesce(clean, '')")} AS t FROM sentences),
+s1 AS (SELECT row_id, regexp_replace(t, '\[([^\]]*)\]\((?:[^)]*)\)', '', 'g') AS t FROM s0),
+-- no back-references here: one marker after the other, the longest first
+s2 AS (SELECT row_id, regexp_replace(regexp_replace(t, '\*\*(\S|\S[^*]*?\S)\*\*', '', 'g'), '(\*|_)(\S|\S[^*_]*?\S)(\*|_)', '', 'g') AS t FROM s1),
+s3 AS ({_sql_strip('s2', _CITES)}), s4 AS ({_sql_strip('s3', _REPORTS)})
+SELECT row_id, t AS text FROM s4"""
+_SHORTS = ", ".join(f"'{w}'" for w in T.SHORT_WORDS)
+SQL["sentences_junk"] = rf"""
+WITH s AS (SELECT row_id, coalesce(clean, '') AS t FROM sentences),
+w AS (SELECT *, {_WORDS.format(t='t')} AS ws FROM s),
+b AS (SELECT *, len(list_filter(list_transform(ws, lambda x: lower(regexp_replace(x, '[^A-Za-z]', '', 'g'))), lambda x: length(x) BETWEEN 1 AND 2 AND x NOT IN ({_SHORTS}))) AS bad FROM w),
+j AS (SELECT *, CASE WHEN regexp_matches(t, '{_q(T.LICENCE)}') THEN 'licence_text' WHEN regexp_matches(t, '{_q(T.LABEL)}') THEN 'caption_or_keywords'
+  WHEN regexp_matches(t, '(?i)^\s*See also') OR {_sql_count('t', r'\d+[-]\d+')} >= 3 THEN 'index_entry'
+  WHEN bad >= 3 AND bad / len(ws) > 0.25 THEN 'spaced_letters' WHEN NOT regexp_matches(t, '\p{{Ll}}') THEN 'no_lowercase'
+  WHEN length(regexp_replace(t, '[^\p{{L}}\s]', '', 'g')) < 0.50 * length(t) OR t = '' THEN 'low_alpha'
+  WHEN length(regexp_replace(t, '[^0-9]', '', 'g')) / greatest(length(t), 1) > 0.20 THEN 'digit_heavy' END AS junk FROM b),
+f AS (SELECT *, CASE WHEN junk IS NOT NULL THEN '' WHEN regexp_matches(t, '{_q(T.FRONT_MATTER)}') THEN 'front_matter'
+  WHEN NOT regexp_matches(trim(t), '{_q(T.TERMINAL)}') THEN 'fragment' WHEN len(ws) > 80 THEN 'long' ELSE '' END AS flag FROM j)
+SELECT row_id, coalesce(junk, CASE WHEN len(ws) < 4 THEN 'too_short' WHEN len(ws) > 80 THEN 'too_long' ELSE '' END) = '' AS kept,
+  coalesce(junk, CASE WHEN len(ws) < 4 THEN 'too_short' WHEN len(ws) > 80 THEN 'too_long' ELSE '' END) AS drop_reason, flag FROM f"""
+
+
 @query
 def sentences_relations(spark, sf):
     """Relations by the built-in predictor."""
@@ -154,6 +240,13 @@ def spans_tidy(spark, sf):
     return r.select("row_id", T.tidy_span(F.col("c")).alias("cause"), T.tidy_span(F.col("e")).alias("effect"), T.is_vague(F.col("c")).alias("cause_vague"), T.is_vague(F.col("e")).alias("effect_vague"))
 
 
+@query
+def relations_skipped(spark, sf):
+    """How many relations have an empty span or one that points to text elsewhere."""
+    r = table(spark, sf, "relations").select(F.coalesce("cause", F.lit("")).alias("c"), F.coalesce("effect", F.lit("")).alias("e"))
+    return r.groupBy(X.skip_reason(F.col("c"), F.col("e")).alias("skip_reason")).agg(F.count("*").alias("n_relations"))
+
+
 @query
 def relations_verbatim(spark, sf):
     """Relations whose two spans both stand in their sentence, by page."""
@@ -186,6 +279,9 @@ UNION ALL SELECT row_id, 1, trim(coalesce(effect, '')) FROM relations) WHERE spa
 SQL["spans_tidy"] = f"""
 SELECT row_id, {_sql_tidy('c')} AS cause, {_sql_tidy('e')} AS effect, {_sql_vague('c')} AS cause_vague, {_sql_vague('e')} AS effect_vague
 FROM (SELECT row_id, coalesce(cause, '') AS c, coalesce(effect, '') AS e FROM relations)"""
+SQL["relations_skipped"] = f"""
+SELECT CASE WHEN trim(c) = '' OR trim(e) = '' THEN 'empty_span' WHEN {_sql_vague('c')} OR {_sql_vague('e')} THEN 'pointer_span' ELSE '' END AS skip_reason, count(*) AS n_relations
+FROM (SELECT coalesce(cause, '') AS c, coalesce(effect, '') AS e FROM relations) GROUP BY ALL"""
 SQL["relations_verbatim"] = """
 SELECT page, count(*) AS n_relations, sum(CASE WHEN contains(lower(sentence), lower(cause)) AND contains(lower(sentence), lower(effect)) THEN 1 ELSE 0 END)::BIGINT AS n_verbatim FROM relations GROUP BY page"""
 
@@ -392,3 +488,74 @@ SQL["vector_pairs"] = f"WITH {_PAIRS} SELECT a, b FROM pr"
 SQL["vector_groups_single"] = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT vec_id AS v, vec_id AS u FROM embeddings UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a) SELECT v AS vec_id, min(u) AS group_id FROM r GROUP BY v"
 SQL["vector_medoids"] = f"WITH s AS (SELECT x.label AS g, x.vec_id, sum({_DOT}) AS score FROM embeddings x JOIN embeddings y USING (label) GROUP BY x.label, x.vec_id) SELECT CAST(g AS BIGINT) AS group_id, count(*) AS size, min_by(vec_id, (-round(score, 6), vec_id)) AS central_id FROM s GROUP BY g".replace("USING (label)", "ON x.label = y.label")
 SQL["vector_nearest"] = f"SELECT x.vec_id, CAST(row_number() OVER (PARTITION BY x.vec_id ORDER BY round({_DOT}, 9) DESC, y.vec_id) AS INTEGER) AS rank, y.vec_id AS neighbour FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0 QUALIFY rank <= 10"
+
+
+# --- standardisation: vectors in place of texts -----------------------------
+
+
+def _entry_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 stands for an entry; entries of one label for one concept."""
+    e = _vectors(spark, sf).where("vec_id % 100 = 0")
+    return e.select(F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("id"), F.lit("").alias("leaf"), F.lit("").alias("path"), "embedding")
+
+
+@query
+def vector_top_matches(spark, sf):
+    """The three best concepts of every vector."""
+    q = _vectors(spark, sf).select(F.col("vec_id").alias("query"), "embedding")
+    return S.match_vectors(q, _entry_vectors(spark, sf), 3).select("query", "rank", "id", "score")
+
+
+@query
+def span_concepts(spark, sf):
+    """The best concept of every span by the built-in encoder, where it is near enough."""
+    spans = M.collect_spans(table(spark, sf, "relations"))
+    entries = table(spark, sf, "concepts").withColumn("ord", F.expr("cast(row_number() over (order by id) as long)"))
+    return S.standardize_spans(spans, S.embed(entries.withColumn("_t", T.strategy_text("leaf")), "_t"), top=1, threshold=0.5).select(F.col("query").alias("span"), "id", "score")
+
+
+def _group_matches(spark: SparkSession, sf: str, rule: str) -> DataFrame:
+    v = _vectors(spark, sf).select(F.col("vec_id") % 97, "vec_id", "embedding").toDF("key", "ord", "embedding").withColumn("is_central", F.col("ord") >= 97)
+    entries = _entry_vectors(spark, sf).withColumn("id", F.col("ord").cast("string"))
+    return S.match_vectors(S.group_vectors(v, rule), entries, 2).select(F.col("query").alias("key"), "rank", "id", "score")
+
+
+@query
+def group_match_mean(spark, sf):
+    return _group_matches(spark, sf, "mean_sim")
+
+
+@query
+def group_match_centroid(spark, sf):
+    return _group_matches(spark, sf, "centroid")
+
+
+@query
+def group_match_medoid(spark, sf):
+    return _group_matches(spark, sf, "medoid")
+
+
+@query
+def group_match_summary(spark, sf):
+    q = _vectors(spark, sf).select((F.col("vec_id") % 97).alias("query"))
+    m = _group_matches(spark, sf, "mean_sim").withColumnRenamed("key", "query").where("score >= 0.05")
+    return S.match_summary(m, q)
+
+
+SQL["vector_top_matches"] = f"""
+WITH s AS (SELECT x.vec_id AS query, CAST(y.label AS VARCHAR) AS id, y.vec_id AS ord, {_DOT} AS score FROM embeddings x JOIN embeddings y ON y.vec_id % 100 = 0),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY round(score, 12) DESC, ord) = 1)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, ord) AS INTEGER) AS rank, id, round(score, 4) AS score FROM b QUALIFY rank <= 3"""
+_GROUPS = f"""
+WITH s AS (SELECT x.vec_id % 97 AS key, y.vec_id AS ord, avg({_DOT}) AS mean, max(CASE WHEN x.vec_id BETWEEN 97 AND 193 THEN {_DOT} END) AS central FROM embeddings x JOIN embeddings y ON y.vec_id % 100 = 0 GROUP BY ALL),
+n AS (SELECT x.vec_id % 97 AS key, sqrt(avg({_DOT})) AS norm FROM embeddings x JOIN embeddings y ON x.vec_id % 97 = y.vec_id % 97 GROUP BY ALL),
+r AS (SELECT key, ord, {{score}} AS score FROM s JOIN n USING (key)),
+m AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY round(score, 12) DESC, ord) AS INTEGER) AS rank, CAST(ord AS VARCHAR) AS id, round(score, 4) AS score FROM r QUALIFY rank <= 2)
+"""
+for _name, _score in (("mean", "mean"), ("centroid", "mean / norm"), ("medoid", "central")):
+    SQL[f"group_match_{_name}"] = _GROUPS.format(score=_score) + "SELECT * FROM m"
+SQL["group_match_summary"] = (
+    _GROUPS.format(score="mean")
+    + """, b AS (SELECT q.key, max(m.score) AS score FROM (SELECT DISTINCT vec_id % 97 AS key FROM embeddings) q LEFT JOIN m ON m.key = q.key AND m.rank = 1 AND m.score >= 0.05 GROUP BY q.key)
+SELECT count(*) AS n_queries, count(*) FILTER (WHERE score IS NULL) AS n_unmatched, round(median(score), 4) AS median, min(score) AS least, max(score) AS most FROM b"""
+)

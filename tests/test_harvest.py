@@ -47,19 +47,33 @@ def test_paragraphs_against_fold(spark):
     for _ in range(3):
         texts = [rng.choice(["the word is cut-", "ting here", "A line.", "ends - so", "lower start", "x"]) for _ in range(60)]
         kept = [rng.random() < 0.8 for _ in texts]
-        got = [r["text"] for r in H.join_paragraphs(lines(spark, texts, kept)).orderBy("para").collect()]
+        got = [r["text"] for r in H.join_paragraphs(lines(spark, texts, kept)).where("kept").orderBy("para").collect()]
         assert got == fold(texts, kept)
 
 
 def test_sentences():
     assert H.sentences_of("See e.g. Smith et al. found it. It rose (p = .05). J. Doe agreed.") == ["See e.g. Smith et al. found it.", "It rose (p = .05).", "J. Doe agreed."]
     assert H.sentences_of("") == []
+    # an ordinary word ends its sentence even before lower case; initials, numbers before lower case and ellipses don't
+    assert H.sentences_of("It fell. and rose.") == ["It fell.", "and rose."]
+    assert H.sentences_of("About 5. to 6. Then it stopped ... and went on.") == ["About 5. to 6.", "Then it stopped ... and went on."]
+    assert H.sentences_of('He said "why?" and left! "So." Done') == ['He said "why?"', "and left!", '"So."', "Done"]
+    assert H.sentences_of("The non-univ. staff of A. Beck et al. agreed.") == ["The non-univ. staff of A. Beck et al. agreed."]
+
+
+def test_document_numbers(spark):
+    pages = spark.createDataFrame([(d, 1, f"The people of {d} said so.\nThey were right about it.") for d in ("b", "a", "c")], "doc_id string, page int, markdown string")
+    got = {r["sent_id"]: r["doc_id"] for r in H.kept_sentences(H.prefix_ids(H.harvest(pages))).collect()}
+    assert got == {f"d{k:03d}p0000s{j:03d}": d for k, d in enumerate("abc") for j in (0, 1)}
 
 
 def test_pipeline(spark):
     pages = spark.createDataFrame([("d", 1, "# Title\nThis finding helps chil-\ndren learn (Ryan & Deci, 2017).\n\nToo short.\n"), ("d", 2, ""), ("d", 3, None)], "doc_id string, page int, markdown string")
-    got = {r["text"]: r["drop_reason"] for r in H.harvest(pages).collect()}
-    assert got == {"This finding helps children learn.": "", "Too short.": "too_short"}
+    rows = H.harvest(pages)
+    assert {r["text"]: r["drop_reason"] for r in rows.collect()} == {"This finding helps children learn.": "", "Too short.": "too_short", "# Title": "heading", "": "empty_page"}
+    assert [(r["sent_id"], r["clean"], r["raw"]) for r in H.kept_sentences(rows).collect()] == [("p0000s000", "This finding helps children learn.", "This finding helps children learn (Ryan & Deci, 2017).")]
+    assert sorted(r["drop_reason"] for r in H.drop_log(rows).collect()) == ["empty_page", "empty_page", "heading", "too_short"]
+    assert [r["drop_reason"] for r in H.harvest_summary(rows).collect()] == ["blank", "empty_page", "heading", "too_short"]
     assert H.raw_lines(pages).where("drop_reason = 'empty_page'").count() == 2
 
 
