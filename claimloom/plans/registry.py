@@ -15,6 +15,7 @@ from claimloom.operators import harvest as H
 from claimloom.operators import labels as L
 from claimloom.operators import standardize as S
 from claimloom.operators import vectors as V
+from claimloom.operators.ranks import global_rank
 from claimloom.scratch import Scratch
 
 FLAGSHIP = "causal_map_edges"
@@ -320,15 +321,19 @@ SELECT f.key, f.central, f.size, CASE WHEN f.size = 1 THEN f.span ELSE f.central
 # --- the causal map ---------------------------------------------------------
 
 
-def _map(spark: SparkSession, sf: str) -> M.CausalMap:
+def _names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     relations = table(spark, sf, "relations")
     names = M.concept_names(M.collect_spans(relations), table(spark, sf, "concepts"))
-    return M.causal_map(relations, Scratch(spark, "map").cut(names, "names"))
+    return relations, Scratch(spark, "map").cut(names, "names")
+
+
+def _map(spark: SparkSession, sf: str) -> M.CausalMap:
+    return M.causal_map(*_names(spark, sf))
 
 
 @query
 def causal_map_edges(spark, sf):
-    return M.number_edges(_map(spark, sf).edges).drop("first_row")
+    return M.number_edges(M.build_edges(M.place(*_names(spark, sf)))).drop("first_row")
 
 
 @query
@@ -338,7 +343,7 @@ def causal_map_nodes(spark, sf):
 
 @query
 def causal_map_evidence(spark, sf):
-    return _map(spark, sf).evidence.select("row_id", "source", "target", "rel_id")
+    return M.place(*_names(spark, sf)).select("row_id", "source", "target", "rel_id")
 
 
 @query
@@ -358,6 +363,66 @@ def causal_map_neighbours(spark, sf):
     return M.neighbourhood(m.edges.where("drop_reason = ''"), M.search_nodes(m.nodes, "sleep opt"), 2)
 
 
+@query
+def map_edge_rows(spark, sf):
+    """Numbered edges with labels and joined lists, as a file holds them."""
+    m = _map(spark, sf)
+    return M.edge_rows(M.number_edges(m.edges), m.nodes, m.evidence)
+
+
+@query
+def map_node_rows(spark, sf):
+    relations, names = _names(spark, sf)
+    m = M.causal_map(relations, names)
+    return M.node_rows(m.nodes, names, M.collect_spans(relations)).withColumn("short", M.short_label(F.col("label")))
+
+
+@query
+def map_edge_sentences(spark, sf):
+    """The evidence of the shown edges by sentence."""
+    m = _map(spark, sf)
+    return M.edge_sentences(m.evidence).join(m.edges.where("drop_reason = ''").select("source", "target"), ["source", "target"], "left_semi")
+
+
+@query
+def map_role_filter(spark, sf):
+    """Edges between nodes that are both causes and effects, where loops and edges of a single paper are left out first."""
+    return M.passing_edges(_map(spark, sf).edges, min_papers=2, self_loops=False, roles=["cause and effect"]).select("source", "target")
+
+
+@query
+def map_near_two(spark, sf):
+    """Nodes near the nodes of either of two searches, and of both."""
+    m = _map(spark, sf)
+    shown, nodes = m.edges.where("drop_reason = ''"), Scratch(spark, "near").cut(m.nodes, "nodes")
+    starts = [M.search_nodes(nodes, "sleep opt"), M.search_nodes(nodes, "meal")]
+    either = M.neighbourhood(shown, starts[0].unionByName(starts[1]), 1).withColumn("found", F.lit("either"))
+    return either.unionByName(M.near_all(shown, starts, 1).withColumn("found", F.lit("both")))
+
+
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    return L.group_key(table(spark, sf, "span_groups").where("trim(span) <> ''"))
+
+
+@query
+def map_group_nodes(spark, sf):
+    """Nodes when groups are named by their labels."""
+    g = _groups(spark, sf)
+    names = M.names_of_groups(g.join(L.label_groups(table(spark, sf, "span_groups").where("trim(span) <> ''")).select("key", "name"), "key"))
+    return names.groupBy("node_id").agg(F.min("label").alias("label"), F.count("*").alias("n_members"))
+
+
+@query
+def map_concept_nodes(spark, sf):
+    """Nodes when a group is named by the concept whose label one of its spans is: groups of one concept are one node."""
+    g = _groups(spark, sf)
+    found = M.concept_names(g.select("span").distinct(), table(spark, sf, "concepts")).where("node_id like 'c:%'")
+    best = g.join(found, "span").groupBy(F.col("key").alias("query")).agg(F.min(F.struct(F.substring("node_id", 3, 1000).alias("id"), F.col("label").alias("leaf"))).alias("m"))
+    matches = best.select("query", F.lit(1).alias("rank"), "m.id", "m.leaf")
+    names = M.names_of_matched_groups(g.select("span", "key", F.coalesce("central", F.lit("")).alias("central")), matches)
+    return names.groupBy("node_id").agg(F.min("label").alias("label"), F.count("*").alias("n_members"))
+
+
 _PLACED = f"""
 WITH RECURSIVE sp AS (SELECT DISTINCT span FROM (SELECT trim(coalesce(cause, '')) AS span FROM relations UNION ALL SELECT trim(coalesce(effect, '')) FROM relations) WHERE span <> ''),
 lab AS (SELECT lower(l) AS query, min(id) AS id, arg_min(leaf, id) AS leaf FROM (SELECT id, leaf, unnest(list_concat([leaf], coalesce(alt, []))) AS l FROM concepts) GROUP BY lower(l)),
@@ -377,6 +442,46 @@ bo AS (SELECT source AS a, target AS b FROM ed WHERE drop_reason = '' UNION SELE
 st AS (SELECT node_id FROM nd WHERE regexp_matches(lower(label), '(^|[^a-z0-9])sleep opt')),
 h1 AS (SELECT node_id FROM st UNION SELECT b FROM bo JOIN st ON a = node_id), h2 AS (SELECT node_id FROM h1 UNION SELECT b FROM bo JOIN h1 ON a = node_id)
 """
+_NUMBERED = ", nu AS (SELECT *, 'e' || lpad(CAST(rk AS VARCHAR), greatest(5, length(CAST(rk AS VARCHAR)))::INT, '0') AS edge_id FROM (SELECT *, row_number() OVER (ORDER BY first_row) AS rk FROM ed))"
+SQL["map_edge_rows"] = (
+    _PLACED
+    + _NUMBERED
+    + """, dl AS (SELECT source, target, string_agg(doc_id, ' | ' ORDER BY place) AS doc_ids FROM (SELECT source, target, doc_id, min(row_id) AS place FROM pl GROUP BY ALL) GROUP BY ALL),
+rl AS (SELECT source, target, string_agg(rel_id, ' | ' ORDER BY row_id) AS rel_ids FROM pl GROUP BY ALL)
+SELECT edge_id, source, a.label AS source_label, target, b.label AS target_label, nu.n_papers, nu.n_sentences, n_relations, direction, reciprocal, self_loop, drop_reason, doc_ids, rel_ids
+FROM nu JOIN dl USING (source, target) JOIN rl USING (source, target) JOIN nd a ON a.node_id = source JOIN nd b ON b.node_id = target"""
+)
+SQL["map_node_rows"] = (
+    _PLACED
+    + """, so AS (SELECT span, min(ord) AS ord FROM (SELECT trim(coalesce(cause, '')) AS span, row_id * 2 AS ord FROM relations UNION ALL SELECT trim(coalesce(effect, '')), row_id * 2 + 1 FROM relations) GROUP BY span),
+mb AS (SELECT node_id, string_agg(span, ' | ' ORDER BY ord) AS members FROM nm JOIN so USING (span) GROUP BY node_id), hd AS (SELECT node_id, split_part(label, ' | ', 1) AS h FROM nd)
+SELECT nd.*, members, CASE WHEN length(h) > 40 THEN h[:39] || '…' ELSE h END AS short FROM nd JOIN mb USING (node_id) JOIN hd USING (node_id)"""
+)
+SQL["map_edge_sentences"] = (
+    _PLACED
+    + """, pp AS (SELECT source, target, coalesce(sent_id, rel_id) AS sent_id, doc_id, count(*) AS n, min(row_id) AS place, trim(cause) || ' → ' || trim(effect) AS pair FROM pl GROUP BY ALL)
+SELECT source, target, sent_id, doc_id, sum(n)::BIGINT AS n_relations, string_agg(pair, '; ' ORDER BY place) AS pairs FROM pp JOIN (SELECT source, target FROM ed WHERE drop_reason = '') USING (source, target) GROUP BY ALL"""
+)
+SQL["map_role_filter"] = (
+    _PLACED
+    + """, pe AS (SELECT source, target, n_sentences FROM ed WHERE drop_reason = '' AND n_papers >= 2 AND NOT self_loop),
+both_roles AS (SELECT source AS node_id FROM pe INTERSECT SELECT target FROM pe)
+SELECT source, target FROM pe WHERE source IN (FROM both_roles) AND target IN (FROM both_roles)"""
+)
+SQL["map_near_two"] = (
+    _PLACED
+    + """, sm AS (SELECT node_id FROM nd WHERE regexp_matches(lower(label), '(^|[^a-z0-9])meal')), m1 AS (SELECT node_id FROM sm UNION SELECT b FROM bo JOIN sm ON a = node_id)
+SELECT node_id, 'either' AS found FROM (SELECT node_id FROM h1 UNION SELECT node_id FROM m1) UNION ALL SELECT node_id, 'both' FROM (SELECT node_id FROM h1 INTERSECT SELECT node_id FROM m1)"""
+)
+SQL["map_group_nodes"] = (
+    SQL["group_labels"].replace("FROM span_groups", "FROM span_groups WHERE trim(span) <> ''").replace("SELECT f.key, f.central, f.size,", ", lb AS (SELECT f.key,").rstrip()
+    + ") SELECT 'g:' || g.key AS node_id, min(lb.name) AS label, count(*) AS n_members FROM g JOIN lb USING (key) GROUP BY g.key"
+)
+SQL["map_concept_nodes"] = f"""
+WITH g AS (SELECT *, CASE WHEN "group" = -1 THEN 's:' || span ELSE 'g:' || "group" END AS key FROM span_groups WHERE trim(span) <> ''),
+lab AS (SELECT lower(l) AS query, min(id) AS id, arg_min(leaf, id) AS leaf FROM (SELECT id, leaf, unnest(list_concat([leaf], coalesce(alt, []))) AS l FROM concepts) GROUP BY lower(l)),
+b AS (SELECT key, min(id) AS id, arg_min(leaf, id) AS leaf FROM (SELECT key, lower({_sql_tidy('span')}) AS query FROM g) JOIN lab USING (query) GROUP BY key)
+SELECT coalesce('c:' || b.id, 'g:' || key) AS node_id, min(coalesce(b.leaf, central, '')) AS label, count(*) AS n_members FROM g LEFT JOIN b USING (key) GROUP BY 1"""
 SQL["causal_map_edges"] = _PLACED + "SELECT source, target, n_papers, n_sentences, n_relations, direction, reciprocal, self_loop, drop_reason, 'e' || lpad(CAST(row_number() OVER (ORDER BY first_row) AS VARCHAR), greatest(5, length(CAST(row_number() OVER (ORDER BY first_row) AS VARCHAR))::INT), '0') AS edge_id FROM ed"
 SQL["causal_map_nodes"] = _PLACED + "SELECT * FROM nd"
 SQL["causal_map_evidence"] = _PLACED + "SELECT row_id, source, target, rel_id FROM pl"
@@ -404,10 +509,80 @@ def papers_summary(spark, sf):
 
 @query
 def document_references(spark, sf):
-    """DOIs cited in document texts and by how many documents, the paper's own left out."""
+    """DOIs cited in document texts and by whom, the paper's own left out; the texts of the tables name none, so some are added to them."""
     own = table(spark, sf, "doi_rows").where("doi <> ''").groupBy("file").agg(F.min(T.clean_doi(F.trim("doi"))).alias("doi"))
-    docs = table(spark, sf, "documents").select("doc_id", "file", "text")
-    return D.references(docs.join(own, "file", "left"))
+    docs = table(spark, sf, "documents").join(own, "file", "left")
+    k = F.col("doc_id")
+    added = F.concat(F.lit(" See doi:10.90000/Ref."), k % 50, F.lit(", https://doi.org/10.90000/ref."), k % 7, F.lit("/full and (10.90001/x("), k % 3, F.lit(")). Fig: "), F.coalesce("doi", F.lit("none")), F.lit(".g001"))
+    r = D.references(docs.select("doc_id", "doi", F.concat(F.coalesce("text", F.lit("")), added).alias("text")))
+    return r.withColumn("cited_by", F.array_join("cited_by", " | "))
+
+
+def _papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers with a DOI that is told by their one source; a paper whose file is named by its DOI has it in its doc_id, too."""
+    d = table(spark, sf, "doi_rows").where("doi <> ''").groupBy("file").agg(F.min(F.struct("doc_id", T.clean_doi(F.trim("doi")).alias("doi"), "source", F.col("page").cast("int").alias("page"))).alias("x")).select("file", "x.*")
+    return d.where("source <> ''").withColumn("doc_id", F.when(F.col("source") == "file_name", D.safe_name(F.col("doi"))).otherwise(F.col("doc_id")))
+
+
+@query
+def doi_source_priority(spark, sf):
+    """The DOI of each paper and where it comes from; all but the metadata's are printed on the paper's page, too."""
+    d = _papers(spark, sf)
+    shown = F.when(F.col("source").isin("file_name", "text"), F.concat(F.lit("Printed as DOI: "), F.upper("doi"), F.lit("."))).otherwise("none here")
+    pages = d.select("doc_id", "page", shown.alias("markdown"))
+    log = d.where("source = 'download_log'").select(F.concat(F.lit("old/folder/"), "file").alias("file"), F.upper("doi").alias("doi"), F.lit(0).alias("line"))
+    meta = F.when(F.col("source") == "metadata", F.concat(F.lit("Journal, doi:"), "doi"))
+    return D.paper_dois(pages, d.select("doc_id", "file", meta.alias("subject"), F.lit(None).cast("string").alias("keywords")), log).drop("note")
+
+
+@query
+def paper_titles(spark, sf):
+    """Titles by the largest font; a paper whose DOI is in its metadata has its title there, too, and none in large letters."""
+    d = table(spark, sf, "doi_rows").groupBy("doc_id").agg(F.min(F.struct("source", F.coalesce("title", F.lit("")).alias("title"))).alias("x")).select("doc_id", "x.*")
+    large = d.where("source <> 'metadata'").select("doc_id", F.posexplode(F.split("title", " ")).alias("ord", "text")).withColumn("font_size", F.lit(17.96))
+    small = d.where("source <> 'metadata'").select("doc_id", F.lit(0).alias("ord"), F.lit("Four words at least").alias("text"), F.lit(10.0).alias("font_size"))
+    return D.paper_titles(large.unionByName(small).withColumn("page", F.lit(1)), d.select("doc_id", "title"))
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """What the services might say of each paper: made up from its DOI, its page and its source."""
+    d = _papers(spark, sf).select("doi", "page", "source").dropDuplicates(["doi"])
+    x, n = D.safe_name(F.col("doi")), F.col("page").cast("string")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    work = say('{"best_oa_location":{"license":"', F.when(F.col("page") == 1, "cc-by").otherwise("cc-by-nc"), '","pdf_url":"https://best.org/', x, '.pdf","is_oa":true},"ids":{"pmcid":"https://x.org/PMC', n, '"},"locations":[{"pdf_url":null,"landing_page_url":"https://land.org/', x, '","is_oa":true},{"pdf_url":"https://best.org/', x, '.pdf","landing_page_url":"https://no.org/','","is_oa":false}]}')
+    listing = say("<Key>PMC", n, ".2/PMC", n, ".2.pdf</Key><Key>PMC", n, ".10/PMC", n, ".10.pdf</Key><Key>PMC", n, ".10/sup.pdf</Key>")
+    epmc = say('{"resultList":{"result":[{"doi":"10.1/other","fullTextUrlList":{"fullTextUrl":[{"documentStyle":"pdf","availability":"Free","url":"https://other.org"}]}},{"doi":"', F.upper("doi"), '","fullTextUrlList":{"fullTextUrl":[{"documentStyle":"html","availability":"Free","url":"https://h.org"},{"documentStyle":"pdf","availability":"Free","url":"https://epmc.org/', x, '"}]}}]}}')
+    crossref = say('{"message":{"link":[{"URL":"https://api.wiley.com/', x, '","content-type":"application/pdf"},{"URL":"https://pub.org/', x, '","content-type":"unspecified"},{"URL":"https://pub.org/x.xml","content-type":"text/xml"}],"relation":{"has-preprint":[{"id":"10.31219/osf.io/ab', n, '"}]}}}')
+    return d.where("source <> 'text'").select("doi", work.alias("work"), listing.alias("listing"), epmc.alias("europe_pmc"), say('{"oa_locations":[{"url_for_pdf":null},{"url_for_pdf":"https://best.org/', x, '.pdf"}]}').alias("unpaywall"), say('{"openAccessPdf":{"url":"https://s2.org/', x, '"}}').alias("semantic_scholar"), crossref.alias("crossref"))
+
+
+@query
+def download_candidates(spark, sf):
+    """All addresses of each paper by source, each once."""
+    from claimloom.operators import download as N
+
+    return N.candidate_urls(_answers(spark, sf))
+
+
+@query
+def licence_filter(spark, sf):
+    """The plan of a run that takes one licence and finds the papers of the download log in its folder."""
+    from claimloom.operators import download as N
+
+    d = _papers(spark, sf)
+    wanted = D.doi_list(d.select(F.upper("doi").alias("doi"), F.xxhash64("file").alias("ord")))
+    there = d.where("source = 'download_log'").select(F.concat(D.safe_name(F.col("doi")), F.lit(".pdf")).alias("file"))
+    return N.plan(wanted, there, _answers(spark, sf).select("doi", "work"), ["cc-by"]).select("doi", "status", "licence", "file")
+
+
+@query
+def download_log_upsert(spark, sf):
+    """The log of a first run with the rows of a second, which asked for the papers told by their metadata again."""
+    d = _papers(spark, sf).groupBy("doi").agg(F.min("source").alias("source"))
+    rows = global_rank(d, "doi", "line")
+    old = rows.where("source <> 'text'").select("doi", F.lit("not_found").alias("status"), "line")
+    new = rows.where("source in ('metadata', 'text')").select("doi", F.lit("downloaded").alias("status"), "line")
+    return D.upsert_log(old, new)
 
 
 SQL["papers_dois"] = r"""
@@ -416,6 +591,50 @@ c AS (SELECT DISTINCT doc_id, file, lower(regexp_replace(CASE WHEN len(d) - len(
 p AS (SELECT *, CASE WHEN split_part(doi, '/', 1) IN ('10.1007', '10.1057', '10.1186', '10.3758') THEN 'Springer' WHEN split_part(doi, '/', 1) = '10.3389' THEN 'Frontiers' END AS publisher FROM c)
 SELECT doc_id, file, doi, publisher, CASE publisher WHEN 'Springer' THEN 'https://link.springer.com/content/pdf/' || doi || '.pdf' WHEN 'Frontiers' THEN 'https://www.frontiersin.org/articles/' || doi || '/pdf' END AS url,
 regexp_replace(doi, '[^a-z0-9_-]', '_', 'g') AS safe FROM p"""
+_CLEAN = "lower(regexp_replace(CASE WHEN len(d) - len(replace(d, ')', '')) > len(d) - len(replace(d, '(', '')) THEN rtrim(d, ')') ELSE d END, '(?i)/(?:full|abstract|pdf|epdf|fulltext|html)$', ''))"
+SQL["document_references"] = rf"""
+WITH own AS (SELECT file, min((SELECT {_CLEAN} FROM (SELECT rtrim(trim(doi), '.,;:/') AS d))) AS doi FROM doi_rows WHERE doi <> '' GROUP BY file),
+t AS (SELECT doc_id, coalesce(own.doi, '') AS own, coalesce(text, '') || ' See doi:10.90000/Ref.' || doc_id % 50 || ', https://doi.org/10.90000/ref.' || doc_id % 7 || '/full and (10.90001/x(' || doc_id % 3 || ')). Fig: ' || coalesce(own.doi, 'none') || '.g001' AS text FROM documents LEFT JOIN own USING (file)),
+f AS (SELECT doc_id, own, rtrim(unnest(regexp_extract_all(text, '(?i)10\.\d{{4,9}}/[-._;()/:a-zA-Z0-9]+')), '.,;:/') AS d FROM t),
+c AS (SELECT DISTINCT doc_id, {_CLEAN} AS doi, own FROM f)
+SELECT doi, count(*) AS n_seeds, string_agg(doc_id, ' | ' ORDER BY doc_id) AS cited_by FROM c WHERE own = '' OR NOT starts_with(doi, own) GROUP BY doi"""
+_SAFE = "regexp_replace(doi, '[^a-z0-9_-]', '_', 'g')"
+_PAPERS = rf"""
+WITH p0 AS (SELECT file, doc_id, (SELECT {_CLEAN} FROM (SELECT rtrim(trim(doi), '.,;:/') AS d)) AS doi, source, page FROM doi_rows WHERE doi <> ''),
+p1 AS (SELECT file, min(struct_pack(doc_id := doc_id, doi := doi, source := source, page := page)) AS x FROM p0 GROUP BY file),
+p2 AS (SELECT file, x.doc_id, x.doi, x.source, x.page FROM p1 WHERE x.source <> ''),
+p AS (SELECT * REPLACE (CASE WHEN source = 'file_name' THEN {_SAFE} ELSE doc_id END AS doc_id) FROM p2)
+"""
+SQL["doi_source_priority"] = _PAPERS + """SELECT doc_id, file, doi, source, CASE WHEN source IN ('file_name', 'text') AND page BETWEEN 1 AND 2 THEN page ELSE 0 END AS page, 'found' AS status FROM p
+  WHERE source IN ('metadata', 'download_log') OR page BETWEEN 1 AND 2
+  UNION ALL SELECT doc_id, file, '', '', 0, 'not_found' FROM p WHERE NOT (source IN ('metadata', 'download_log') OR page BETWEEN 1 AND 2)"""
+SQL["paper_titles"] = r"""
+WITH d AS (SELECT doc_id, min(struct_pack(source := source, title := coalesce(title, ''))) AS x FROM doi_rows GROUP BY doc_id),
+t AS (SELECT doc_id, x.source, regexp_replace(trim(regexp_replace(x.title, '\s+', ' ', 'g')), '([\p{L}\p{N}_])- ([\p{L}\p{N}_])', '-', 'g') AS title FROM d)
+SELECT doc_id, CASE WHEN len(string_split(title, ' ')) >= 4 THEN title WHEN source <> 'metadata' THEN 'Four words at least' ELSE '' END AS title FROM t"""
+_ANSWERED = _PAPERS + f", w AS (SELECT DISTINCT ON (doi) doi, page, {_SAFE} AS x FROM p WHERE source <> 'text')"
+SQL["download_candidates"] = (
+    _ANSWERED
+    + """, c AS (SELECT doi, 'openalex' AS source, 0 AS rank, 'https://best.org/' || x || '.pdf' AS url FROM w UNION ALL SELECT doi, 'openalex', 1, 'https://land.org/' || x FROM w
+  UNION ALL SELECT doi, 'publisher', 1000, CASE split_part(doi, '/', 1) WHEN '10.3389' THEN 'https://www.frontiersin.org/articles/' || doi || '/pdf' ELSE 'https://link.springer.com/content/pdf/' || doi || '.pdf' END FROM w WHERE split_part(doi, '/', 1) IN ('10.1007', '10.1057', '10.1186', '10.3758', '10.3389')
+  UNION ALL SELECT doi, 'pmc', 2000, 'https://pmc-oa-opendata.s3.amazonaws.com/PMC' || page || '.10/PMC' || page || '.10.pdf' FROM w UNION ALL SELECT doi, 'europe_pmc', 3000, 'https://epmc.org/' || x FROM w
+  UNION ALL SELECT doi, 'semantic_scholar', 5000, 'https://s2.org/' || x FROM w UNION ALL SELECT doi, 'crossref', 6000, 'https://pub.org/' || x FROM w
+  UNION ALL SELECT doi, 'preprint', 7000, 'https://osf.io/ab' || page || '/download' FROM w UNION ALL SELECT doi, 'landing_page', 8000, 'https://doi.org/' || doi FROM w)
+SELECT doi, source, CAST(rank AS INTEGER) AS rank, url FROM c"""
+)
+SQL["licence_filter"] = (
+    _ANSWERED
+    + f""", o AS (SELECT doi, bool_or(source = 'download_log') AS there FROM p GROUP BY doi),
+s AS (SELECT o.doi, {_SAFE.replace('doi', 'o.doi')} || '.pdf' AS file, there, CASE WHEN w.doi IS NULL THEN 'unknown' WHEN page = 1 THEN 'cc-by' ELSE 'cc-by-nc' END AS lic FROM o LEFT JOIN w USING (doi))
+SELECT doi, CASE WHEN there THEN 'already_there' WHEN lic <> 'cc-by' THEN 'skipped_licence' ELSE 'to_fetch' END AS status, CASE WHEN there THEN '' ELSE lic END AS licence, CASE WHEN NOT there AND lic <> 'cc-by' THEN '' ELSE file END AS file FROM s"""
+)
+SQL["download_log_upsert"] = (
+    _PAPERS
+    + """, n AS (SELECT doi, min(source) AS source FROM p GROUP BY doi),
+l AS (SELECT doi, source, row_number() OVER (ORDER BY doi) AS line FROM n),
+e AS (SELECT max(line) + 1 AS e FROM l WHERE source <> 'text')
+SELECT doi, CASE WHEN source IN ('metadata', 'text') THEN 'downloaded' ELSE 'not_found' END AS status, CASE WHEN source = 'text' THEN line + coalesce(e, 0) ELSE line END AS line FROM l, e"""
+)
 SQL["papers_summary"] = "SELECT source, status, count(*) AS n_rows, count(DISTINCT doc_id) AS n_papers FROM doi_rows GROUP BY ROLLUP (source, status)"
 
 
