@@ -13,6 +13,10 @@ from claimloom.scratch import Scratch
 
 #: Vectors of a block in blocked products; a block of 64 floats is 0.5 MB.
 BLOCK = 2000
+#: Vectors that blocks are gathered around.
+PIVOTS = 256
+#: A vertex with at least 1/HOT_SHARE of all links (and HOT_LEAST) is hot: there are HOT_SHARE of them at most.
+HOT_SHARE, HOT_LEAST = 400, 2000
 #: Agglomeration and density clustering hold distances of one component; a larger one is refused, never cut short.
 MOST_MEMBERS = 20_000
 
@@ -21,21 +25,59 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Vectors ``(vec_id, embedding)`` packed into blocks ``(block, ids, flat)`` of about ``size`` rows."""
-    n = vectors.count()
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // size))))
-    return vectors.where("embedding is not null").groupBy(chunk.alias("block")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")).select("block", F.transform("rows", lambda r: r["vec_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["embedding"])).alias("flat"))
+def blocks(vectors: DataFrame, size: int | None = None, pivots: np.ndarray | None = None) -> DataFrame:
+    """Vectors ``(vec_id, embedding)`` packed into blocks ``(block, ids, flat)`` of about ``size`` rows; NULL vectors are left out.
+
+    With ``pivots``, a block holds vectors whose nearest pivot is the same.
+    """
+    v, size = vectors.where("embedding is not null").select("vec_id", "embedding"), size or BLOCK
+    if pivots is None:
+        n = v.count()
+        v = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // size)))))
+    else:
+        shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+        @F.pandas_udf("int")
+        def nearest_pivot(e: pd.Series) -> pd.Series:
+            return pd.Series(np.argmax(np.stack(e).astype("float64") @ shared.value.T, axis=1).astype("int32"))
+
+        v = Scratch(vectors.sparkSession, "pivots").cut(v.withColumn("pivot", nearest_pivot("embedding")), "v")
+        parts = F.broadcast(v.groupBy("pivot").agg(F.ceil(F.count("*") / size).alias("parts")))  # one row a pivot
+        v = v.join(parts, "pivot").withColumn("block", F.col("pivot") + F.lit(len(pivots)) * F.pmod(F.xxhash64("vec_id"), "parts"))
+    return v.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")).select("block", F.transform("rows", lambda r: r["vec_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["embedding"])).alias("flat"))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """``(a, b, cosine)``, a < b, of unit vectors with a cosine of at least ``threshold``: products of blocks of rows.
 
-    Each pair of blocks is one product; the result holds only true pairs.
+    Vectors are blocked by their nearest of up to PIVOTS vectors of the table.  Two blocks whose centres are further apart than
+    the threshold and both radii allow hold no pair and never meet, which loses none; on vectors spread without any
+    clusters that spares nothing, and all blocks meet.
     """
-    b = Scratch(vectors.sparkSession, "blocks").cut(blocks(vectors), "blocks")
-    other = b.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
-    pairs = b.join(other, F.col("block") <= F.col("block2"))
+    scratch = Scratch(vectors.sparkSession, "blocks")
+    # a pivot for each block there will be, so that small tables aren't cut to shreds
+    n = min(PIVOTS, -(-vectors.where("embedding is not null").count() // BLOCK))
+    some = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("embedding").collect()
+    if not some:
+        return vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(0.0).alias("cosine")).where("false")
+    b = scratch.cut(blocks(vectors, pivots=np.array([r["embedding"] for r in some], "float64")), "blocks")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                x = np.asarray(r.flat, "float64").reshape(len(r.ids), -1)
+                c = x.mean(axis=0)
+                c /= max(1e-12, np.linalg.norm(c))
+                out.append((r.block, c.tolist(), float(np.arccos(np.clip((x @ c).min(), -1, 1)))))
+            yield pd.DataFrame(out, columns=["block", "centre", "radius"])
+
+    shape = scratch.cut(b.mapInPandas(measure, "block long, centre array<double>, radius double"), "shapes")
+    other = shape.toDF("block2", "centre2", "radius2")
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("centre"), F.col("centre2"))))) - F.col("radius") - F.col("radius2")
+    # blocks, not vectors, are paired here: rows of a centre and a radius
+    meet = shape.join(other, F.col("block") <= F.col("block2")).where(apart <= float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9).select("block", "block2")
+    pairs = meet.join(b, "block").join(b.toDF("block2", "ids2", "flat2"), "block2")
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -59,7 +101,7 @@ def top_matches(scores: DataFrame, top: int = 5, threshold: float = 0.0) -> Data
     one = Window.partitionBy("query", "id").orderBy(F.desc("score"), "ord")
     best = scores.where(F.col("score") >= threshold).withColumn("_k", F.row_number().over(one)).where("_k = 1")
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("query", "rank", "id", "ord", F.round("score", 4).alias("score"))
+    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top).select("query", "rank", "id", "ord", (F.round("score", 4) + F.lit(0.0)).alias("score"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -89,27 +131,37 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def min_label(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """``(v, group_id)``: least vertex of each component, by alternating large-star and small-star."""
-    scratch = Scratch(pairs.sparkSession, "stars")
-    e = scratch.cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "e")
+def _with_least(scratch: Scratch, rows: DataFrame, total: int) -> DataFrame:
+    """Rows ``(u, v)`` with ``m``, the least of their u and its v's; a hot u gets it by a broadcast."""
+    least = scratch.cut(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "least", most=F.max("n"))
+    limit = max(HOT_LEAST, -(-total // HOT_SHARE))
+    if (scratch.seen["most"] or 0) < limit:
+        return rows.join(least.select("u", "m"), "u")
+    hot = F.broadcast(least.where(F.col("n") >= limit).select("u", "m"))
+    return rows.join(hot, "u").unionByName(rows.join(hot.select("u"), "u", "left_anti").join(least.select("u", "m"), "u"))
 
-    def state(df: DataFrame):
-        r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        return r["n"], r["x"]
 
-    now = state(e)
-    while True:
+def min_label(pairs: DataFrame, vertices: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(v, group_id)``: least vertex of each component, by alternating large-star and small-star.
+
+    Raises if ``max_rounds`` rounds, whose number grows with the logarithm of the vertices, don't suffice.
+    """
+    scratch = Scratch(pairs.sparkSession, "stars")
+    state = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("u", "v"))}
+    e = scratch.cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "e", **state)
+    now = scratch.seen
+    for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = scratch.cut(small, "e")
-        scratch.drop(e)
-        e, before, now = after, now, state(after)
+        large = _with_least(scratch, both, 2 * now["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.cut(large, "large", n=F.count("*"))
+        small = _with_least(scratch, large, scratch.seen["n"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        after = scratch.cut(small, "e", **state)
+        scratch.drop(e, large)
+        e, before, now = after, now, scratch.seen
         if before == now:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     of = e.groupBy("u").agg(F.min("v").alias("group_id"))
     return vertices.select(F.col("v")).distinct().join(of, F.col("u") == F.col("v"), "left").select("v", F.coalesce("group_id", "v").alias("group_id"))
 
@@ -284,7 +336,13 @@ def density_labels(x: np.ndarray, min_cluster_size: int = 2, min_samples: int =
 
 
 def density_grouping(vectors: DataFrame, link: float = 0.3, min_cluster_size: int = 2, min_samples: int = 2) -> DataFrame:
-    """``(vec_id, group_id)`` by density, -1 for noise; vectors that no chain of cosines of at least ``link`` connects are clustered apart."""
+    """``(vec_id, group_id)`` by density, -1 for noise.
+
+    The tree over all vectors needs all distances, so it is built for each component of cosines of at least
+    ``link`` by itself: clusters that only hang together below ``link`` are never one cluster here, and
+    the whole table is the root of one tree only if it is one component.  With ``link`` = -1 it always is, and the
+    result is that of one tree (tests hold the two against each other).
+    """
     parts = single_linkage(vectors, link)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:

@@ -764,12 +764,12 @@ def group_match_summary(spark, sf):
 SQL["vector_top_matches"] = f"""
 WITH s AS (SELECT x.vec_id AS query, CAST(y.label AS VARCHAR) AS id, y.vec_id AS ord, {_DOT} AS score FROM embeddings x JOIN embeddings y ON y.vec_id % 100 = 0),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY round(score, 12) DESC, ord) = 1)
-SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, ord) AS INTEGER) AS rank, id, round(score, 4) AS score FROM b QUALIFY rank <= 3"""
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, ord) AS INTEGER) AS rank, id, round(score, 4) + 0.0::DOUBLE AS score FROM b QUALIFY rank <= 3"""
 _GROUPS = f"""
 WITH s AS (SELECT x.vec_id % 97 AS key, y.vec_id AS ord, avg({_DOT}) AS mean, max(CASE WHEN x.vec_id BETWEEN 97 AND 193 THEN {_DOT} END) AS central FROM embeddings x JOIN embeddings y ON y.vec_id % 100 = 0 GROUP BY ALL),
 n AS (SELECT x.vec_id % 97 AS key, sqrt(avg({_DOT})) AS norm FROM embeddings x JOIN embeddings y ON x.vec_id % 97 = y.vec_id % 97 GROUP BY ALL),
 r AS (SELECT key, ord, {{score}} AS score FROM s JOIN n USING (key)),
-m AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY round(score, 12) DESC, ord) AS INTEGER) AS rank, CAST(ord AS VARCHAR) AS id, round(score, 4) AS score FROM r QUALIFY rank <= 2)
+m AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY round(score, 12) DESC, ord) AS INTEGER) AS rank, CAST(ord AS VARCHAR) AS id, round(score, 4) + 0.0::DOUBLE AS score FROM r QUALIFY rank <= 2)
 """
 for _name, _score in (("mean", "mean"), ("centroid", "mean / norm"), ("medoid", "central")):
     SQL[f"group_match_{_name}"] = _GROUPS.format(score=_score) + "SELECT * FROM m"
