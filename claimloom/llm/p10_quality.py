@@ -40,6 +40,12 @@ PROSE_SIDE = {"mean_word": "narrow", "symbol_ratio": "below", "line_end_share":
 STATS = ("mean_word", "symbol_ratio", "line_end_share", "common_share", "digit_ratio", "vowel_ratio", "variety", "entry_share", "column_share")
 
 
+#: How list entries begin (or a line of contents or of a bibliography reads), and what parts the cells of a row.
+ENTRY = r"^(?:[-–•·◦→*▪]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])\s|\.{4,}\s*\d|^\D{2,60}\((?:1[89]|20)\d\d[a-z]?\)\. .*\d\.?$"
+CELLS = r"\t| {3,}|; | \| |\||, "
+VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüœæ"
+
+
 def _plain(text: Column) -> Column:
     """Letters of one script, full-width forms narrowed, nothing invisible: all by one character table."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -98,10 +104,10 @@ def text_statistics(docs: DataFrame, learned: dict[str, str] | None = None) -> D
         return F.right(F.rtrim(x, F.lit("\"'”’»)] ")), F.lit(1)).isin(".", "!", "?", "…", ":")
 
     def entry(x: Column) -> Column:
-        return x.rlike(r"^(?:[-–•·◦→*▪]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])\s|\.{4,}\s*\d|^\D{2,60}\((?:1[89]|20)\d\d[a-z]?\)\. .*\d\.?$") | (~ends(x) & (F.size(F.split(x, " ")) <= 6))
+        return x.rlike(ENTRY) | (~ends(x) & (F.size(F.split(x, " ")) <= 6))
 
     def columns(x: Column) -> Column:
-        cells = F.size(F.split(x, r"\t| {3,}|; | \| |\||, "))
+        cells = F.size(F.split(x, CELLS))
         return (cells >= 3) & (F.length(F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz ", "")) >= 0.4 * F.length(F.translate(x, " ", "")))
 
     def among(words: list[str]) -> Column:
@@ -121,7 +127,7 @@ def text_statistics(docs: DataFrame, learned: dict[str, str] | None = None) -> D
         _share(F.size(F.filter(lines, ends)), n_lines).alias("line_end_share"),
         _share(n_common, n_words).alias("common_share"),
         _share(alnum - F.length(F.translate("joined", "0123456789", "")), alnum).alias("digit_ratio"),
-        _share(alnum - F.length(F.translate("joined", "aeiouyáéíóúàèìòùâêîôûäëïöüœæ", "")), alnum).alias("vowel_ratio"),
+        _share(alnum - F.length(F.translate("joined", VOWELS, "")), alnum).alias("vowel_ratio"),
         _share(F.size(F.array_distinct(w)).cast("double"), F.sqrt(n_words)).alias("variety"),
         _share(F.size(F.filter(lines, entry)), n_lines).alias("entry_share"),
         _share(F.size(F.filter(lines, columns)), n_lines).alias("column_share"),
@@ -211,5 +217,36 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return document_quality(_documents(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p10_found": p10_found, "p10_statistics": p10_statistics}
-SQL: dict[str, str] = {}
+COUNTS = ("n_words", "n_lines", "mean_word", "symbol_ratio", "line_end_share", "common_share", "digit_ratio", "vowel_ratio", "variety", "entry_share", "column_share", "line_variety")
+
+
+def p10_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of every document by themselves, before they are set against others; shares to nine places."""
+    docs = _documents(spark, sf)
+    stats = text_statistics(docs, learned_common(docs))
+    return stats.select("doc_id", "n_words", "n_lines", *(F.round(c, 9).alias(c) for c in COUNTS[2:]))
+
+
+def _sql_counts() -> str:
+    wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    a, b = "".join(TO_LATIN), "".join(TO_LATIN.values())
+    common = ", ".join(f"'{w}'" for w in sorted({w for words in COMMON.values() for w in words.split()}))
+    q = ENTRY.replace("'", "''")
+    ends = "right(rtrim({x}, '\"''”’»)] '), 1) IN ('.', '!', '?', '…', ':')"
+    share = lambda part, whole: f"round(coalesce({part} / nullif({whole}, 0), 0.0)::DOUBLE, 9)"
+    held = lambda keep: f"len(list_filter(lines, lambda x: {keep}))"
+    cells = f"len(string_split_regex(x, '{CELLS}')) >= 3 AND length(translate(lower(x), 'abcdefghijklmnopqrstuvwxyz ', '')) >= 0.4 * length(replace(x, ' ', ''))"
+    return f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{a}{wide}{IGNORABLE}', '{b}{narrow}') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w, list_filter(list_transform(string_split_regex(t, '[\\n\\f\\r]+'), lambda x: trim(x)), lambda x: x <> '') AS lines, length(translate(t, ' \n\t\f\r\u00a0', '')) AS solid FROM t),
+j AS (SELECT *, array_to_string(w, '') AS j, length(array_to_string(w, '')) AS alnum FROM w)
+SELECT doc_id, len(w)::INT AS n_words, len(lines)::INT AS n_lines, {share('alnum', 'len(w)')} AS mean_word, {share('(solid - alnum)', 'solid')} AS symbol_ratio,
+  {share(held(ends.format(x='x')), 'len(lines)')} AS line_end_share, {share(f'len(list_filter(w, lambda x: x IN ({common})))', 'len(w)')} AS common_share,
+  {share("(alnum - length(translate(j, '0123456789', '')))", 'alnum')} AS digit_ratio, {share(f"(alnum - length(translate(j, '{VOWELS}', '')))", 'alnum')} AS vowel_ratio,
+  {share('len(list_distinct(w))', 'sqrt(len(w))')} AS variety,
+  {share(held(f"regexp_matches(x, '{q}') OR (NOT ({ends.format(x='x')}) AND len(string_split(x, ' ')) <= 6)"), 'len(lines)')} AS entry_share,
+  {share(held(cells), 'len(lines)')} AS column_share, {share('len(list_distinct(lines))', 'len(lines)')} AS line_variety FROM j"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p10_counts": p10_counts}
+SQL: dict[str, str] = {"p10_counts": _sql_counts()}
