@@ -41,8 +41,10 @@ STATS = ("mean_word", "symbol_ratio", "line_end_share", "common_share", "digit_r
 
 
 #: How list entries begin (or a line of contents or of a bibliography reads), and what parts the cells of a row.
-ENTRY = r"^(?:[-–•·◦→*▪]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])\s|\.{4,}\s*\d|^\D{2,60}\((?:1[89]|20)\d\d[a-z]?\)\. .*\d\.?$"
-CELLS = r"\t| {3,}|; | \| |\||, "
+ENTRY = r"^(?:[-–•·◦→*▪]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])\s"
+CONTENTS = r"\.{4,}\s*\d"
+BOOK = r"^\D{2,60}\((?:1[89]|20)\d\d[a-z]?\)\. .*\d\.?$"
+CELLS = r"[\t|]|[;,] | {3,}"
 VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüœæ"
 
 
@@ -52,7 +54,24 @@ def _plain(text: Column) -> Column:
     narrow = "".join(map(chr, range(0x21, 0x7F)))
     a = "".join(TO_LATIN) + wide + IGNORABLE
     b = "".join(TO_LATIN.values()) + narrow
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, a, b)).otherwise(text)
+    # a search for any of these characters is far quicker than the translation, which most texts don't need
+    return F.when(text.rlike(_spans(a)), F.translate(text, a, b)).otherwise(text)
+
+
+def _spans(characters: str) -> str:
+    """A class of a few ranges that hold these characters, and others between them."""
+    spans: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if spans and c - spans[-1][1] <= 128:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in spans) + "]"
+
+
+def _without(text: Column, characters: str) -> Column:
+    """The text without runs of characters of a class; runs are cut out more quickly than characters are translated."""
+    return F.regexp_replace(text, f"[{characters}]+", "")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -95,20 +114,17 @@ def text_statistics(docs: DataFrame, learned: dict[str, str] | None = None) -> D
     t = t.withColumn("joined", F.array_join("w", ""))
     w, lines = F.col("w"), F.col("lines")
     n_words, n_lines, alnum = F.size(w), F.size(lines), F.length("joined")
-    solid = F.col("t")
-    for c in " \n\t\f\r\u00a0":
-        solid = F.replace(solid, F.lit(c), F.lit(""))
-    solid = F.length(solid)
+    solid = F.length(_without(F.col("t"), r" \n\t\f\r\x{a0}"))
 
     def ends(x: Column) -> Column:
         return F.right(F.rtrim(x, F.lit("\"'”’»)] ")), F.lit(1)).isin(".", "!", "?", "…", ":")
 
     def entry(x: Column) -> Column:
-        return x.rlike(ENTRY) | (~ends(x) & (F.size(F.split(x, " ")) <= 6))
+        return x.rlike(ENTRY) | (F.contains(x, F.lit("....")) & x.rlike(CONTENTS)) | (F.contains(x, F.lit("(")) & x.rlike(BOOK)) | (~ends(x) & (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) <= 5))
 
     def columns(x: Column) -> Column:
-        cells = F.size(F.split(x, CELLS))
-        return (cells >= 3) & (F.length(F.translate(F.lower(x), "abcdefghijklmnopqrstuvwxyz ", "")) >= 0.4 * F.length(F.translate(x, " ", "")))
+        # counted, for a split compiles its pattern anew for every line
+        return (F.regexp_count(x, F.lit(CELLS)) >= 2) & (F.length(_without(x, "a-zA-Z ")) >= 0.4 * F.length(F.replace(x, F.lit(" "), F.lit(""))))
 
     def among(words: list[str]) -> Column:
         return F.size(F.filter(w, lambda x: x.isin(*words)))
@@ -126,8 +142,8 @@ def text_statistics(docs: DataFrame, learned: dict[str, str] | None = None) -> D
         _share(solid - alnum, solid).alias("symbol_ratio"),
         _share(F.size(F.filter(lines, ends)), n_lines).alias("line_end_share"),
         _share(n_common, n_words).alias("common_share"),
-        _share(alnum - F.length(F.translate("joined", "0123456789", "")), alnum).alias("digit_ratio"),
-        _share(alnum - F.length(F.translate("joined", VOWELS, "")), alnum).alias("vowel_ratio"),
+        _share(alnum - F.length(_without(F.col("joined"), "0-9")), alnum).alias("digit_ratio"),
+        _share(alnum - F.length(_without(F.col("joined"), VOWELS)), alnum).alias("vowel_ratio"),
         _share(F.size(F.array_distinct(w)).cast("double"), F.sqrt(n_words)).alias("variety"),
         _share(F.size(F.filter(lines, entry)), n_lines).alias("entry_share"),
         _share(F.size(F.filter(lines, columns)), n_lines).alias("column_share"),
@@ -231,7 +247,7 @@ def _sql_counts() -> str:
     wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
     a, b = "".join(TO_LATIN), "".join(TO_LATIN.values())
     common = ", ".join(f"'{w}'" for w in sorted({w for words in COMMON.values() for w in words.split()}))
-    q = ENTRY.replace("'", "''")
+    q = f"{ENTRY}|{CONTENTS}|{BOOK}"
     ends = "right(rtrim({x}, '\"''”’»)] '), 1) IN ('.', '!', '?', '…', ':')"
     share = lambda part, whole: f"round(coalesce({part} / nullif({whole}, 0), 0.0)::DOUBLE, 9)"
     held = lambda keep: f"len(list_filter(lines, lambda x: {keep}))"
