@@ -322,7 +322,8 @@ SELECT f.key, f.central, f.size, CASE WHEN f.size = 1 THEN f.span ELSE f.central
 
 
 def _names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    relations = table(spark, sf, "relations")
+    """Relations without their sentences, which no table of a map needs and every join would carry, and the names of their spans."""
+    relations = table(spark, sf, "relations").drop("sentence", "page")
     names = M.concept_names(M.collect_spans(relations), table(spark, sf, "concepts"))
     return relations, Scratch(spark, "map").cut(names, "names")
 
