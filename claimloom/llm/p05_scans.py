@@ -2,8 +2,8 @@
 
 Lines are labelled by a hidden Markov model over layout features (body, running
 head, page number, section heading, other, blank) with Viterbi decoding.  The
-model is fitted by expectation maximisation on a bounded sample of lines, for
-which the verdict of an earlier run is a second, unreliable observation.  Words
+model is fitted by expectation maximisation on all lines of papers, for which
+the verdict of an earlier run is a second, unreliable observation.  Words
 cut at line ends are joined over whatever page furniture stands in between, and
 misread words are those that scanning confusions turn into much more frequent
 words of the corpus, the likelier confusion first.  Paragraphs are put together
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,8 @@ RATIO = 30
 #: A line is a known running head if this share of all documents repeat it: at most 1/share of them, times the heads of a document.
 HEAD_SHARE = 1e-4
 HEAD_LEAST = 2
-#: The model of lines is fitted on so many lines of so many papers at most, cut in windows; the weights of confusions on so many rare words.
-FIT_LINES, FIT_PAPERS, FIT_WINDOW, FIT_ROUNDS, FIT_WORDS = 40_000, 1_000, 100, 6, 20_000
+#: The model of lines is fitted in so many rounds on all lines, cut in windows of so many.
+FIT_WINDOW, FIT_ROUNDS = 100, 6
 #: Lines of one paper are labelled in chunks of so many, with so many lines of context on either side.
 CHUNK, CONTEXT = 2000, 200
 
@@ -42,6 +42,7 @@ CONFUSIONS = (("c", "e"), ("f", "t"), ("5", "s"), ("0", "o"), ("1", "l"), ("1",
 _CUTS = "-‐¬­"
 _WORD = re.compile(r"[^\W_]+")
 _HYPHEN = re.compile(rf"([^\W\d_][^\W_]*)[{_CUTS}]$")
+_CUT_ENDS = tuple(_CUTS)
 _STARTS = re.compile(r"[^\W_]+")
 _DIGITS = str.maketrans("lIiOoSsg", "11100559")
 _NUMBER = re.compile(r"^\s*(page|p\.|pp\.|[-–—]|\[|\()?\s*([0-9lIiOoSsg]{1,5}|[ivxlcdm]{1,7})\s*([-–—\]).]|(?:of|/)\s*[0-9lIiOoSsg]{1,5})?\s*$", re.IGNORECASE)
@@ -57,51 +58,80 @@ _TABLE = re.compile(r"^\s*\||\t|\S   +\S|; ")
 def vocabulary_counts(texts: DataFrame) -> DataFrame:
     """``(word, n)``: lower-case words of all texts; each task adds up its own before anything is shuffled."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words(pieces: Counter) -> pd.DataFrame:
         seen: Counter = Counter()
+        for piece, n in pieces.items():
+            for w in _WORD.findall(piece):
+                seen[w] += n
+        return pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"]).astype({"word": "str", "n": "int64"})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # no word goes over a blank, so what stands between blanks is counted, and taken apart once
+        pieces: Counter = Counter()
+        size = 0
         for b in batches:
             for t in b["text"]:
-                seen.update(_WORD.findall(t.lower()))
-            if len(seen) > 300_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"]).astype({"word": "str", "n": "int64"})
+                pieces.update(t.lower().split())
+                size += len(t)
+                if len(pieces) > 300_000 or size > 50_000_000:  # letters without blanks may go on and on
+                    yield words(pieces)
+                    pieces, size = Counter(), 0
+        yield words(pieces)
 
     return texts.select("text").where("text <> ''").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame) -> tuple[dict[str, int], list[str]]:
-    """(words that are at least WORD_SHARE of all words, never more than 1/WORD_SHARE of them; a sample of FIT_WORDS of the rarer ones)."""
-    scratch = Scratch(texts.sparkSession, "words")
+def once(word: str) -> Iterator[tuple[str, tuple[str, str]]]:
+    """Readings of a word one confusion away."""
+    for c in CONFUSIONS:
+        wrong, right = c
+        at = word.find(wrong)
+        while at >= 0:
+            yield word[:at] + right + word[at + len(wrong) :], c
+            at = word.find(wrong, at + 1)
+
+
+def explained(words: Iterable[str], frequent: Container[str]) -> Counter:
+    """How many of the words each confusion takes for one of the frequent ones."""
+    seen: Counter = Counter()
+    for w in words:
+        seen.update({c for v, c in once(w) if v in frequent})
+    return seen
+
+
+def frequent_words(texts: DataFrame) -> tuple[dict[str, int], Counter]:
+    """(words that are at least WORD_SHARE of all words, never more than 1/WORD_SHARE of them; how many of all rarer ones each confusion explains)."""
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "words")
     counts = scratch.cut(vocabulary_counts(texts), "counts", n=F.sum("n"))
     least = max(WORD_LEAST, (scratch.seen["n"] or 0) * WORD_SHARE)
-    rare = counts.where(F.col("n") < least).orderBy(F.xxhash64("word"), "word").limit(FIT_WORDS).select("word").collect()
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}, [r["word"] for r in rare]
+    words = {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
+    shared = spark.sparkContext.broadcast(frozenset(w for w, n in words.items() if n >= RATIO))
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for b in batches:
+            seen.update(explained(b["word"], shared.value))
+        yield pd.DataFrame({"c": [CONFUSIONS.index(c) for c in seen], "n": list(seen.values())}, dtype="int64")
+
+    rare = counts.where(F.col("n") < least).select("word").mapInPandas(explain, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    shared.unpersist()
+    return words, Counter({CONFUSIONS[r["c"]]: r["n"] for r in rare})
 
 
 class Reader:
     """Finds the word that a misread word stood for: a noisy channel of scanning confusions before the corpus's words."""
 
-    def __init__(self, vocabulary: dict[str, int], rare: list[str] | tuple = ()):
+    def __init__(self, vocabulary: dict[str, int], rare: Iterable[str] = (), counted: Counter | None = None):
+        """``counted`` is what :func:`explained` says of the rare words, where that was counted elsewhere."""
         self.vocabulary = vocabulary
         self.memo: dict[str, str] = {}
         self.right: set[str] = set()
         # how often each confusion explains a rare word, added to one
         seen = Counter({c: 1 for c in CONFUSIONS})
-        for w in rare:
-            seen.update({c for v, c in self._once(w) if vocabulary.get(v, 0) >= RATIO})
+        seen.update(explained(rare, {w for w, n in vocabulary.items() if n >= RATIO}) if counted is None else counted)
         self.weight = {c: n / seen.total() for c, n in seen.items()}
 
-    @staticmethod
-    def _once(word: str) -> Iterator[tuple[str, tuple[str, str]]]:
-        """Readings of a word one confusion away."""
-        for c in CONFUSIONS:
-            wrong, right = c
-            at = word.find(wrong)
-            while at >= 0:
-                yield word[:at] + right + word[at + len(wrong) :], c
-                at = word.find(wrong, at + 1)
-
     def correct(self, word: str) -> str:
         """The word as it stood in print; '' if it was read rightly, or nobody can tell."""
         got = self.memo.get(word)
@@ -112,14 +142,14 @@ class Reader:
         return got
 
     def misread(self, text: str) -> bool:
-        """Whether any word of a lower-case text was misread; words seen before cost one set difference."""
-        new = set(_WORD.findall(text)) - self.right
+        """Whether any word of a lower-case text was misread; what stood between blanks before costs one set difference."""
+        new = set(text.split()) - self.right
         if not new:
             return False
-        wrong = {w for w in new if self.correct(w)}
-        if len(self.right) > 1_000_000:
+        wrong = {p for p in new if any(map(self.correct, _WORD.findall(p)))}
+        if len(self.right) > 500_000:
             self.right.clear()
-        self.right |= new - wrong
+        self.right.update(p for p in new - wrong if len(p) <= 40)
         return bool(wrong)
 
     def _correct(self, word: str) -> str:
@@ -132,7 +162,7 @@ class Reader:
         for _ in range(2):
             nxt: dict[str, float] = {}
             for w, p in level.items():
-                for v, c in self._once(w):
+                for v, c in once(w):
                     nxt[v] = max(nxt.get(v, 0.0), p * self.weight[c])
             known = [(p * self.vocabulary[v], v) for v, p in nxt.items() if v in self.vocabulary and v.isalpha() and self.vocabulary[v] >= RATIO * max(1, have)]
             if known:
@@ -224,71 +254,90 @@ def looks(lines: list[str], numbers: dict[int, str], heads: list[bool], edge: li
             out.append("marked heading")
         elif len(s) < 40 and s[0].isupper() and s[-1].isalnum() and s.count(" ") <= 1 and len(s.split()) <= 2:
             out.append("title")
-        elif _TABLE.search(t) or len(_NOT_PROSE.findall(s)) > 0.45 * len(s):
+        elif ("|" in t or "\t" in t or "   " in t or "; " in t) and _TABLE.search(t) or len(_NOT_PROSE.findall(s)) > 0.45 * len(s):
             out.append("table")
         else:
             out.append("long" if len(s) >= 60 else "short")
     return out
 
 
-def fit_lines(windows: list[tuple[list[str], list[str]]]) -> LineModel:
-    """The model fitted to windows of (looks, labels) by expectation maximisation.
+#: Probabilities of a model in the making: of looks and of labels given a state, of steps, and of the first state.
+Guess = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: One letter each, so that windows are two strings.
+_LOOK_LETTER = {x: chr(97 + i) for i, x in enumerate(LOOKS)}
+_LABEL_LETTER = {x: chr(97 + i) for i, x in enumerate(LABELS)}
 
-    A label is an observation of its own, with its own error rates, which are
-    fitted too; the starting values count like three hundred lines of each state.
-    Without windows the starting values stay.
+
+def expect(windows: list[tuple[str, str]], guess: Guess) -> np.ndarray:
+    """Expected numbers of steps, looks and labels of each state (one row per state, side by side) in windows of (looks, labels) in letters."""
+    emit, wrong, walk, first = guess
+    k, m = len(STATES), len(LOOKS)
+    out = np.zeros((k, k + m + len(LABELS)))
+    windows = sorted(windows, key=lambda w: len(w[0]))  # little is padded
+    for lo in range(0, len(windows), 500):
+        part = windows[lo : lo + 500]
+        n, t = len(part), len(part[-1][0])
+        at, label, mask = np.zeros((n, t), int), np.zeros((n, t), int), np.zeros((n, t), bool)
+        for i, (x, y) in enumerate(part):
+            at[i, : len(x)] = np.frombuffer(x.encode(), np.uint8) - 97
+            label[i, : len(y)] = np.frombuffer(y.encode(), np.uint8) - 97
+            mask[i, : len(x)] = True
+        b = emit.T[at] * wrong.T[label]
+        b[~mask] = 1.0
+        fwd, bwd = np.zeros((n, t, k)), np.ones((n, t, k))
+        fwd[:, 0] = first * b[:, 0]
+        fwd[:, 0] /= fwd[:, 0].sum(axis=1, keepdims=True) + 1e-300
+        for i in range(1, t):
+            fwd[:, i] = (fwd[:, i - 1] @ walk) * b[:, i]
+            fwd[:, i] /= fwd[:, i].sum(axis=1, keepdims=True) + 1e-300
+        for i in range(t - 2, -1, -1):
+            bwd[:, i] = (bwd[:, i + 1] * b[:, i + 1]) @ walk.T
+            bwd[:, i] /= bwd[:, i].sum(axis=1, keepdims=True) + 1e-300
+        post = fwd * bwd
+        post = post[mask] / (post[mask].sum(axis=1, keepdims=True) + 1e-300)
+        ahead = mask[:, 1:]
+        here, there = fwd[:, :-1][ahead], (bwd[:, 1:] * b[:, 1:])[ahead]
+        here /= ((here @ walk) * there).sum(axis=1, keepdims=True) + 1e-300
+        out[:, :k] += walk * (here.T @ there)
+        for s in range(k):
+            out[s, k : k + m] += np.bincount(at[mask], post[:, s], m)
+            out[s, k + m :] += np.bincount(label[mask], post[:, s], len(LABELS))
+    return out
+
+
+def fit_model(share: np.ndarray, counts: Callable[[Guess], np.ndarray]) -> LineModel:
+    """The model fitted by expectation maximisation to lines of which ``share`` have each look.
+
+    ``counts`` is :func:`expect` over all windows.  A label is an observation of
+    its own, with its own error rates, which are fitted too; the starting values
+    count like three hundred lines of each state.
     """
     k, m = len(STATES), len(LOOKS)
     start = np.array([[_LOOK[x].get(s, -9.0) for x in LOOKS] for s in STATES])
     step = np.array([[_STEP.get((a, b), 0.0) for b in STATES] for a in STATES])
-    if not windows:
-        return LineModel(dict(_STEP), {x: dict(e) for x, e in _LOOK.items()})
-    n, t = len(windows), max(len(w[0]) for w in windows)
-    at, label, mask = np.zeros((n, t), int), np.zeros((n, t), int), np.zeros((n, t), bool)
-    for i, (x, y) in enumerate(windows):
-        at[i, : len(x)] = [LOOKS.index(v) for v in x]
-        label[i, : len(y)] = [LABELS.index(v) for v in y]
-        mask[i, : len(x)] = True
-    share = np.bincount(at[mask], minlength=m) + 1.0
+    share = share + 1.0
     emit = np.exp(start) * share / share.sum()
     mass = emit.sum(axis=1)
     emit /= mass[:, None]
     walk = np.exp(step) * mass
     walk /= walk.sum(axis=1, keepdims=True)
+    unknown = LABELS.index("unknown")
     wrong = np.full((k, len(LABELS)), 0.2 / (len(LABELS) - 1))
     wrong[np.arange(k), np.arange(k)] = 0.8
-    wrong[:, LABELS.index("unknown")] = 1.0
+    wrong[:, unknown] = 1.0
     prior_e, prior_w, first = emit * 300, walk * 300, mass / mass.sum()
     for _ in range(FIT_ROUNDS):
-        b = emit[:, at].transpose(1, 2, 0) * wrong[:, label].transpose(1, 2, 0)
-        b[~mask] = 1.0
-        fwd, bwd = np.zeros((n, t, k)), np.ones((n, t, k))
-        fwd[:, 0] = first * b[:, 0]
-        fwd[:, 0] /= fwd[:, 0].sum(axis=1, keepdims=True) + 1e-300
-        for i in range(1, t):
-            fwd[:, i] = (fwd[:, i - 1] @ walk) * b[:, i]
-            fwd[:, i] /= fwd[:, i].sum(axis=1, keepdims=True) + 1e-300
-        for i in range(t - 2, -1, -1):
-            bwd[:, i] = (bwd[:, i + 1] * b[:, i + 1]) @ walk.T
-            bwd[:, i] /= bwd[:, i].sum(axis=1, keepdims=True) + 1e-300
-        post = fwd * bwd
-        post /= post.sum(axis=2, keepdims=True) + 1e-300
-        post[~mask] = 0.0
-        both = fwd[:, :-1, :, None] * walk * (bwd[:, 1:] * b[:, 1:])[:, :, None, :]
-        both /= both.sum(axis=(2, 3), keepdims=True) + 1e-300
-        walk = prior_w + both[mask[:, 1:]].sum(axis=0)
+        got = counts((emit, wrong, walk, first))
+        walk = prior_w + got[:, :k]
         walk /= walk.sum(axis=1, keepdims=True)
-        emit, seen = prior_e.copy(), np.full((k, len(LABELS)), 0.5)
-        for s in range(k):
-            emit[s] += np.bincount(at.ravel(), post[:, :, s].ravel(), m)
-            seen[s] += np.bincount(label.ravel(), post[:, :, s].ravel(), len(LABELS))
+        first = got[:, k : k + m].sum(axis=1) + 1.0
+        first /= first.sum()
+        emit = prior_e + got[:, k : k + m]
         emit /= emit.sum(axis=1, keepdims=True)
-        unknown = LABELS.index("unknown")
+        seen = 0.5 + got[:, k + m :]
         seen[:, unknown] = 0.0
         wrong = seen / seen.sum(axis=1, keepdims=True)
         wrong[:, unknown] = 1.0
-        first = post.sum(axis=(0, 1)) + 1.0
-        first /= first.sum()
     log = np.log(emit + 1e-300)
     keep = emit * first[:, None] >= 1e-6 * (emit * first[:, None]).max(axis=0)
     keep[STATES.index("B")] = [x == "blank" for x in LOOKS]
@@ -296,20 +345,62 @@ def fit_lines(windows: list[tuple[list[str], list[str]]]) -> LineModel:
     return LineModel({(a, b): float(np.log(walk[i, j])) for i, a in enumerate(STATES) for j, b in enumerate(STATES)}, {x: {s: float(log[i, j]) for i, s in enumerate(STATES) if keep[i, j]} for j, x in enumerate(LOOKS)})
 
 
+def fit_lines(windows: list[tuple[list[str], list[str]]]) -> LineModel:
+    """The model fitted to windows of (looks, labels); without windows the starting values stay."""
+    if not windows:
+        return LineModel(dict(_STEP), {x: dict(e) for x, e in _LOOK.items()})
+    letters = [("".join(_LOOK_LETTER[v] for v in x), "".join(_LABEL_LETTER[v] for v in y)) for x, y in windows]
+    share = Counter(v for x, _ in windows for v in x)
+    return fit_model(np.array([share[x] for x in LOOKS], float), lambda guess: expect(letters, guess))
+
+
+def line_windows(lines: DataFrame, known_heads: frozenset[str]) -> DataFrame:
+    """``(looks, labels)``: windows of FIT_WINDOW lines in letters, of all lines of ``(line_id, doc_id, page, line_no, text, kept, drop_reason)``.
+
+    The lines are read in the chunks in which :func:`line_repair` reads them; a line counts in its own chunk.
+    """
+    # other reasons tell of a line's characters, not of its place on the page
+    said = F.when(F.col("kept"), "").when(~F.col("kept") & F.col("drop_reason").isin(*LABELS[1:]), F.col("drop_reason")).otherwise("unknown")
+    rows = chunked(lines.withColumn("said", said), "said")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in grouped(batches, ["page", "text", "own", "said"]):
+            out = []
+            for (_, chunk), group in groups:
+                pages, texts, own, labels = zip(*group, strict=True)
+                texts = _read_lines("\n".join(t.replace("\n", " ") for t in texts))
+                seen = _looks(texts, list(pages), known_heads, [head_key(t) for t in texts])
+                mine = [i for i, c in enumerate(own) if c == chunk]
+                out += [("".join(_LOOK_LETTER[seen[i]] for i in w), "".join(_LABEL_LETTER[labels[i]] for i in w)) for w in (mine[at : at + FIT_WINDOW] for at in range(0, len(mine), FIT_WINDOW))]
+            yield pd.DataFrame(out, columns=["looks", "labels"], dtype="str")
+
+    return rows.mapInPandas(read, "looks string, labels string")
+
+
 def line_model(lines: DataFrame, known_heads: frozenset[str]) -> LineModel:
-    """The model fitted on at most FIT_LINES lines of FIT_PAPERS papers of ``(line_id, doc_id, page, line_no, text, kept, drop_reason)``, chosen by hash."""
+    """The model fitted on all lines of ``(line_id, doc_id, page, line_no, text, kept, drop_reason)``; each round adds up what tasks expect of their windows."""
     if "drop_reason" not in lines.columns:
         return fit_lines([])
-    papers = lines.where("doc_id <> ''").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_PAPERS)
-    rows = lines.join(F.broadcast(papers), "doc_id", "left_semi").orderBy("doc_id", F.coalesce("line_no", "line_id"), "line_id").limit(FIT_LINES)
-    windows = []
-    for _, g in rows.select("doc_id", "page", "text", "kept", "drop_reason").toPandas().groupby("doc_id", sort=True):
-        texts = _read_lines("\n".join((t or "").replace("\n", " ") for t in g["text"]))
-        seen = _looks(texts, [int(p) if p == p and p is not None else 0 for p in g["page"]], known_heads, [head_key(t) for t in texts])
-        # other reasons tell of a line's characters, not of its place on the page
-        said = ["unknown" if kept is None or kept != kept else "" if kept else why if why in LABELS[1:] else "unknown" for kept, why in zip(g["kept"], g["drop_reason"], strict=True)]
-        windows += [(seen[i : i + FIT_WINDOW], said[i : i + FIT_WINDOW]) for i in range(0, len(seen), FIT_WINDOW)]
-    return fit_lines(windows)
+    scratch = Scratch(lines.sparkSession, "looks")
+    windows = scratch.cut(line_windows(lines, known_heads), "windows", **{c: F.sum(F.length("looks") - F.length(F.translate("looks", c, ""))) for c in _LOOK_LETTER.values()})
+    share = np.array([scratch.seen[c] or 0 for c in _LOOK_LETTER.values()], float)
+    if not share.sum():
+        return fit_lines([])
+    shape = (len(STATES), len(STATES) + len(LOOKS) + len(LABELS))
+
+    def counts(guess: Guess) -> np.ndarray:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(shape)
+            for b in batches:
+                total += expect(list(zip(b["looks"], b["labels"], strict=True)), guess)
+            yield pd.DataFrame({"x": [total.ravel().tolist()]})
+
+        # one row of numbers a task, added in their order, so runs agree
+        return np.sum([r["x"] for r in windows.mapInPandas(add, "x array<double>").collect()], axis=0).reshape(shape)
+
+    model = fit_model(share, counts)
+    scratch.drop(windows)
+    return model
 
 
 def viterbi(seen: list[str], model: LineModel) -> str:
@@ -417,7 +508,7 @@ def inspect(lines: list[str], pages: list[int] | None, known_heads: frozenset[st
     for n, i in enumerate(body):
         t = lines[i]
         skip_end = None
-        m = _HYPHEN.search(t)
+        m = _HYPHEN.search(t) if t.endswith(_CUT_ENDS) else None
         if m and n + 1 < len(body) and "S" not in states[i : body[n + 1]]:
             j = body[n + 1]
             rest = _STARTS.match(lines[j].lstrip())
@@ -464,7 +555,7 @@ def pieces(lines: list[str], states: str, fixed: dict[int, str]) -> list[tuple[i
             else:
                 out.append((i, fixed[i], True))
             # a line much shorter than the column ends its paragraph
-            open_at = len(lines[i]) >= 0.6 * wide and wide <= 130 or bool(_HYPHEN.search(lines[i]))
+            open_at = len(lines[i]) >= 0.6 * wide and wide <= 130 or lines[i].endswith(_CUT_ENDS) and bool(_HYPHEN.search(lines[i]))
             continue
         nxt = next((states[j] for j in range(i + 1, len(states)) if states[j] not in "HNB"), "")
         before = next((j for j in range(i - 1, -1, -1) if states[j] not in "HNB"), -1)
@@ -521,9 +612,9 @@ def repeated_heads(texts: DataFrame) -> set[str]:
 
 def _models(spark: SparkSession, docs: DataFrame, lines: DataFrame):
     """Broadcast (reader, known heads, model of lines): at most 1/WORD_SHARE words, 1/HEAD_SHARE heads times the heads of a document."""
-    words, rare = frequent_words(docs.select("text").unionByName(lines.select("text")))
+    words, counted = frequent_words(docs.select("text").unionByName(lines.select("text")))
     known = frozenset(repeated_heads(docs))
-    return spark.sparkContext.broadcast((Reader(words, rare), known, line_model(lines, known)))
+    return spark.sparkContext.broadcast((Reader(words, counted=counted), known, line_model(lines, known)))
 
 
 def document_noise(docs: DataFrame, shared) -> DataFrame:
@@ -549,30 +640,56 @@ def document_noise(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(read, "doc_id long, kinds array<string>, clean string")
 
 
-def line_repair(lines: DataFrame, shared) -> DataFrame:
-    """``(line_id, doc_id, chunk, line_no, kinds, piece, para)`` for lines of ``(line_id, doc_id, page, line_no, text)``.
+def chunked(lines: DataFrame, *more: str) -> DataFrame:
+    """``(line_id, line_no, doc_id, page, text, own, chunk, *more)``: lines in the chunks that read them, each chunk's in their order.
 
-    ``kinds`` are the kinds of noise in the line, ``piece`` what it adds to its
-    paragraph (NULL for page furniture), ``para`` the line that begins the
-    paragraph, NULL where that lies before the chunk's context.  A paper is
-    read in chunks of CHUNK lines with CONTEXT lines of its neighbourhood, so
-    no task holds more than that of any paper.  NULL texts are blank lines;
-    ties of ``line_no`` go by ``line_id``; lines without a paper or number are
-    taken in the order of their ids.
+    A paper is read in chunks of CHUNK lines with CONTEXT lines of its
+    neighbourhood, so no task holds more than that of any paper.  NULL texts are
+    blank lines; ties of ``line_no`` go by ``line_id``; lines without a paper or
+    number are taken in the order of their ids.
     """
     at = F.coalesce("line_no", "line_id")
-    rows = lines.select("line_id", F.coalesce("doc_id", F.lit("")).alias("doc_id"), F.coalesce("page", F.lit(0)).alias("page"), at.cast("long").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = lines.select("line_id", F.coalesce("doc_id", F.lit("")).alias("doc_id"), F.coalesce("page", F.lit(0)).alias("page"), at.cast("long").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"), *more)
     own = F.floor(F.col("line_no") / CHUNK)
     place = F.pmod("line_no", F.lit(CHUNK))
     chunks = F.array_compact(F.array(own, F.when((place < CONTEXT) & (own > 0), own - 1), F.when(place >= CHUNK - CONTEXT, own + 1)))
     rows = rows.select("*", own.alias("own"), F.explode(chunks).alias("chunk"))
     # repartition by what the groups are made of; each group's lines then follow one another
     rows = rows.repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "line_no", "line_id")
+    return rows.select("line_id", "line_no", "doc_id", "page", "text", "own", "chunk", *more)
+
+
+def grouped(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple[tuple[str, int], list[tuple]]]]:
+    """Groups ((doc_id, chunk), rows of these columns) of :func:`chunked`, those that end in a batch together."""
+    group: list[tuple] = []
+    last = None
+    for b in batches:
+        out = []
+        for doc, chunk, *row in zip(b["doc_id"], b["chunk"], *(b[c] for c in columns), strict=True):
+            if (doc, chunk) != last:
+                if group:
+                    out.append((last, group))
+                group, last = [], (doc, chunk)
+            group.append(row)
+        yield out
+    if group:
+        yield [(last, group)]
+
+
+def line_repair(lines: DataFrame, shared) -> DataFrame:
+    """``(line_id, doc_id, chunk, line_no, kinds, piece, para)`` for lines of ``(line_id, doc_id, page, line_no, text)``.
+
+    ``kinds`` are the kinds of noise in the line, ``piece`` what it adds to its
+    paragraph (NULL for page furniture), ``para`` the line that begins the
+    paragraph, NULL where that lies before the chunk's context (:func:`chunked`).
+    """
+    rows = chunked(lines)
     columns = ["line_id", "doc_id", "chunk", "line_no", "kinds", "piece", "para"]
 
     def read_group(doc: str, chunk: int, group: list[tuple], shared: tuple) -> list[tuple]:
         reader, known, model = shared
-        ids, numbers, pages, texts, mine = zip(*group, strict=True)
+        ids, numbers, pages, texts, own = zip(*group, strict=True)
+        mine = [c == chunk for c in own]
         texts = [t.replace("\n", " ") for t in texts]
         states, found, fixed = inspect(texts, list(pages), known, reader, model, repair=True)
         piece, para, at = {}, {}, None
@@ -584,25 +701,11 @@ def line_repair(lines: DataFrame, shared) -> DataFrame:
         return [(ids[i], doc, chunk, numbers[i], sorted(found.get(i, ())) + furniture.get(states[i], []), piece.get(i), para.get(i)) for i in range(len(ids)) if mine[i]]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: list[tuple] = []
-        last = None
+        for groups in grouped(batches, ["line_id", "line_no", "page", "text", "own"]):
+            out = [row for key, group in groups for row in read_group(*key, group, shared.value)]
+            yield pd.DataFrame(out, columns=columns).astype({"para": "Int64"})
 
-        def frame(out: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(out, columns=columns).astype({"para": "Int64"})
-
-        for b in batches:
-            out: list[tuple] = []
-            for doc, chunk, *row in zip(b["doc_id"], b["chunk"], b["line_id"], b["line_no"], b["page"], b["text"], b["own"] == b["chunk"], strict=True):
-                if (doc, chunk) != last:
-                    if group:
-                        out += read_group(*last, group, shared.value)
-                    group, last = [], (doc, chunk)
-                group.append(row)
-            yield frame(out)
-        if group:
-            yield frame(read_group(*last, group, shared.value))
-
-    return rows.select("line_id", "line_no", "doc_id", "page", "text", "own", "chunk").mapInPandas(read, "line_id long, doc_id string, chunk long, line_no long, kinds array<string>, piece string, para long")
+    return rows.mapInPandas(read, "line_id long, doc_id string, chunk long, line_no long, kinds array<string>, piece string, para long")
 
 
 def line_noise(lines: DataFrame, shared) -> DataFrame:

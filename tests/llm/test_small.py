@@ -277,6 +277,34 @@ def test_confusions_are_weighed():
     assert r.correct("hoiise") == "house" and max(r.weight, key=r.weight.get) == ("ii", "u") and abs(sum(r.weight.values()) - 1) < 1e-9
 
 
+def test_every_rare_word_weighs_confusions(spark):
+    """Far more rare words than a driver would want, 40 of which two confusions explain."""
+    letters = "abdeghjk"
+    frequent = [f"qu{a}{b}z" for a in letters for b in letters][:40]
+    rare = [f"x{a}{b}{c}{d}{e}" for a in letters for b in letters for c in letters for d in letters for e in letters[:6]]
+    texts = [" ".join(frequent * 40), *(" ".join(rare[i::20]) for i in range(20)), " ".join(w.replace("u", "ii") for w in frequent[:30]), " ".join(w.replace("z", "2") for w in frequent[30:])]
+    lines = spark.createDataFrame([], "line_id long, doc_id string, page int, line_no long, text string")
+    weight = p5._models(spark, docs(spark, texts), lines).value[0].weight
+    total = 40 + len(p5.CONFUSIONS)
+    assert len(rare) > 20_000 and abs(weight["ii", "u"] - 31 / total) < 1e-12 and abs(weight["2", "z"] - 11 / total) < 1e-12
+
+
+def test_line_model_is_fitted_on_every_line(spark):
+    rng = random.Random(9)
+    rows, windows = [], []
+    for d in range(1300):
+        texts = [f"A {rng.choice(['Table', 'Note'])}"] * rng.randint(0, 2) + ["the people said the long line of text goes on"] * rng.randint(1, 40) + [str(d % 90)] * rng.randint(0, 1)
+        said = [rng.choice([(True, ""), (False, "heading"), (False, "page_number"), (None, None), (False, "odd")]) for _ in texts]
+        rows += [(len(rows) + i, f"d{d}", 1, i, t, *k) for i, (t, k) in enumerate(zip(texts, said, strict=True))]
+        seen = p5._looks(texts, [1] * len(texts), frozenset(), [p5.head_key(t) for t in texts])
+        windows.append((seen, ["unknown" if kept is None or why == "odd" else why for kept, why in said]))
+    lines = spark.createDataFrame(rows, "line_id long, doc_id string, page int, line_no long, text string, kept boolean, drop_reason string")
+    got, want = p5.line_model(lines, frozenset()), p5.fit_lines(windows)
+    assert got.step == pytest.approx(want.step, abs=1e-6) and got.look.keys() == want.look.keys()
+    assert all(got.look[x] == pytest.approx(want.look[x], abs=1e-6) for x in want.look)
+    assert p5.line_model(lines.where("false"), frozenset()).look == p5._LOOK
+
+
 def test_page_values():
     assert p5.page_value("[l6O]") == ("[#]", 160) and p5.page_value("xix") == ("roman#", 19) and p5.page_value("mild") is None
     assert p5.page_value("3 of 9") == ("#of", 3)
