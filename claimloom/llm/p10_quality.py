@@ -8,6 +8,9 @@ no lists, tables or junk lie, so that many of them don't hide one another.
 
 from __future__ import annotations
 
+import functools
+import operator
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,6 +48,11 @@ ENTRY = r"^(?:[-–•·◦→*▪]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)])\s"
 CONTENTS = r"\.{4,}\s*\d"
 BOOK = r"^\D{2,60}\((?:1[89]|20)\d\d[a-z]?\)\. .*\d\.?$"
 CELLS = r"[\t|]|[;,] | {3,}"
+#: How a line ends that ends a sentence, and what may follow.
+ENDS, CLOSING = ".!?…:", "\"'”’»)] "
+BLANKS = " \n\t\f\r\u00a0"
+#: Look-alikes that are no further apart are searched as one range; from 27 on, these would hold quotation marks and dashes, which most texts have.
+GAP = 16
 VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüœæ"
 
 
@@ -54,15 +62,17 @@ def _plain(text: Column) -> Column:
     narrow = "".join(map(chr, range(0x21, 0x7F)))
     a = "".join(TO_LATIN) + wide + IGNORABLE
     b = "".join(TO_LATIN.values()) + narrow
-    # a search for any of these characters is far quicker than the translation, which most texts don't need
-    return F.when(text.rlike(_spans(a)), F.translate(text, a, b)).otherwise(text)
+    # a search for any of these characters is far quicker than the translation, which most texts don't need; plain characters are passed by a single comparison
+    lowest = min(map(ord, a))
+    wanted = (F.octet_length(text) > F.length(text)) & text.rlike(f"(?=[^\\x00-\\x{{{lowest - 1:x}}}])" + _spans(a))
+    return F.when(wanted, F.translate(text, a, b)).otherwise(text)
 
 
 def _spans(characters: str) -> str:
     """A class of a few ranges that hold these characters, and others between them."""
     spans: list[list[int]] = []
     for c in sorted(map(ord, characters)):
-        if spans and c - spans[-1][1] <= 128:
+        if spans and c - spans[-1][1] <= GAP:
             spans[-1][1] = c
         else:
             spans.append([c, c])
@@ -74,8 +84,18 @@ def _without(text: Column, characters: str) -> Column:
     return F.regexp_replace(text, f"[{characters}]+", "")
 
 
+def _count(text: Column, c: str) -> Column:
+    """How often a text has a character; found by its bytes, with no pattern."""
+    return F.when(F.contains(text, F.lit(c)), F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).otherwise(0)
+
+
+def _any(tests: list[Column]) -> Column:
+    return functools.reduce(operator.or_, tests)
+
+
 def _share(part: Column, whole: Column) -> Column:
-    return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0)).cast("double")
+    # nullif would have the whole computed in a projection of its own, and the arrays copied for it
+    return F.when(whole != 0, part / whole).otherwise(0.0).cast("double")
 
 
 def _language(lang: str = "lang") -> Column:
@@ -109,22 +129,26 @@ def text_statistics(docs: DataFrame, learned: dict[str, str] | None = None) -> D
     """
     common = sorted({w for words in COMMON.values() for w in words.split()})
     controls = CONTROLS.split("|")
+    longest = max(map(len, controls))  # lower case is never shorter
     t = docs.select("doc_id", _language().alias("lang"), _plain(F.coalesce("text", F.lit(""))).alias("t"))
-    t = t.select("doc_id", "lang", "t", F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"), F.filter(F.transform(F.split("t", r"[\n\f\r]+"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
-    t = t.withColumn("joined", F.array_join("w", ""))
-    w, lines = F.col("w"), F.col("lines")
+    # a split at one character needs no pattern; empty lines are left out either way
+    broken = F.when(F.contains("t", F.lit("\f")) | F.contains("t", F.lit("\r")), F.split("t", r"[\n\f\r]+")).otherwise(F.split("t", "\n"))
+    t = t.select("doc_id", "lang", "t", F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"), F.filter(F.transform(broken, lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
+    solid = functools.reduce(operator.sub, (_count(F.col("t"), c) for c in BLANKS), F.length("t"))
+    t = t.select("doc_id", "lang", "w", "lines", F.array_join("w", "").alias("joined"), solid.alias("solid"))
+    w, lines, solid = F.col("w"), F.col("lines"), F.col("solid")
     n_words, n_lines, alnum = F.size(w), F.size(lines), F.length("joined")
-    solid = F.length(_without(F.col("t"), r" \n\t\f\r\x{a0}"))
 
     def ends(x: Column) -> Column:
-        return F.right(F.rtrim(x, F.lit("\"'”’»)] ")), F.lit(1)).isin(".", "!", "?", "…", ":")
+        # nearly all lines are told by their last character
+        return _any([x.endswith(c) for c in ENDS]) | (_any([x.endswith(c) for c in CLOSING]) & F.right(F.rtrim(x, F.lit(CLOSING)), F.lit(1)).isin(*ENDS))
 
     def entry(x: Column) -> Column:
         return x.rlike(ENTRY) | (F.contains(x, F.lit("....")) & x.rlike(CONTENTS)) | (F.contains(x, F.lit("(")) & x.rlike(BOOK)) | (~ends(x) & (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) <= 5))
 
     def columns(x: Column) -> Column:
-        # counted, for a split compiles its pattern anew for every line
-        return (F.regexp_count(x, F.lit(CELLS)) >= 2) & (F.length(_without(x, "a-zA-Z ")) >= 0.4 * F.length(F.replace(x, F.lit(" "), F.lit(""))))
+        # counted, for a split compiles its pattern anew for every line; last, for prose has commas, but few such characters
+        return (F.length(_without(x, string.ascii_letters + " ")) >= 0.4 * F.length(F.replace(x, F.lit(" "), F.lit("")))) & (F.regexp_count(x, F.lit(CELLS)) >= 2)
 
     def among(words: list[str]) -> Column:
         return F.size(F.filter(w, lambda x: x.isin(*words)))
@@ -142,14 +166,14 @@ def text_statistics(docs: DataFrame, learned: dict[str, str] | None = None) -> D
         _share(solid - alnum, solid).alias("symbol_ratio"),
         _share(F.size(F.filter(lines, ends)), n_lines).alias("line_end_share"),
         _share(n_common, n_words).alias("common_share"),
-        _share(alnum - F.length(_without(F.col("joined"), "0-9")), alnum).alias("digit_ratio"),
+        _share(F.length(_without(F.col("joined"), "^0-9")), alnum).alias("digit_ratio"),
         _share(alnum - F.length(_without(F.col("joined"), VOWELS)), alnum).alias("vowel_ratio"),
         _share(F.size(F.array_distinct(w)).cast("double"), F.sqrt(n_words)).alias("variety"),
         _share(F.size(F.filter(lines, entry)), n_lines).alias("entry_share"),
         _share(F.size(F.filter(lines, columns)), n_lines).alias("column_share"),
         _share(F.size(F.array_distinct(lines)), n_lines).alias("line_variety"),
         _share(F.size(F.filter(lines, lambda x: (F.length(x) >= 30) & ~x.contains(" "))), n_lines).alias("unbroken_share"),
-        _share(F.size(F.filter(lines, lambda x: F.lower(x).isin(*controls))), n_lines).alias("control_share"),
+        _share(F.size(F.filter(lines, lambda x: (F.length(x) <= longest) & F.lower(x).isin(*controls))), n_lines).alias("control_share"),
     )
 
 

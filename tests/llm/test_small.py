@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeats, empty tables, extra columns; brute force where SQL can't say it."""
 
 import random
+import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -643,3 +645,31 @@ def test_statistics_query_returns_all_columns(spark, tmp_path):
     r = p10.p10_statistics(spark, str(tmp_path)).collect()
     assert len(r) == 1 and (r[0]["n_words"], r[0]["n_lines"], r[0]["line_end_share"]) == (6, 2, 1.0) and r[0]["mean_word"] == 20 / 6
     assert {*p10.STATS, *(f"z_{s}" for s in p10.STATS)} <= {*r[0].asDict()} and r[0]["z_common_share"] is not None
+
+
+def test_statistics_compute_nothing_twice(spark):
+    """Nothing is put into a projection of its own for a denominator, and quotation marks and dashes set off no translation."""
+    d = docs(spark, ["“It’s so” – they said … «no»"])
+    assert "_common_expr" not in p10.text_statistics(d)._jdf.queryExecution().optimizedPlan().toString()
+    looks = "".join(p10.TO_LATIN) + p10.IGNORABLE + "\uff01\uff5e"
+    assert not d.select(F.col("text").rlike(p10._spans(looks))).first()[0]
+    assert all(r[0] for r in docs(spark, list(looks)).select(F.col("text").rlike(p10._spans(looks))).collect())
+
+
+def test_statistics_of_odd_texts_against_python(spark):
+    odd = ["a\fb.\r\nc,  \u00a0 d\t1 | 2\n \n", "He said “no.”) »\n(yes!\n.)x\n…'\n)", "v1, 2; 3\n4\t5\t6\n7    8,    9\nsoft\u00adly ａ１！ сору", " \r\f\n", "Log in\nLOG IN \nlog\u0130n\n" + "x" * 40, "é½Ⅳ٣ 100% \u2028 –"]
+    char = dict(zip(p10.TO_LATIN, p10.TO_LATIN.values())) | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys(p10.IGNORABLE, "")
+    for r, text in zip(p10.text_statistics(docs(spark, odd)).orderBy("doc_id").collect(), odd):
+        t = "".join(char.get(c, c) for c in text)
+        alnum = "".join(c for c in t.lower() if unicodedata.category(c)[0] in "LN")
+        solid = sum(c not in " \n\t\f\r\u00a0" for c in t)
+        lines = [x for x in (x.strip(" ") for x in re.split(r"[\n\f\r]", t)) if x]
+        share = lambda part, whole: part / whole if whole else 0.0
+        cells = lambda x: len(re.findall(p10.CELLS, x)) >= 2 and sum(not (c.isascii() and c.isalpha()) for c in x.replace(" ", "")) >= 0.4 * len(x.replace(" ", ""))
+        assert r["n_lines"] == len(lines)
+        assert r["symbol_ratio"] == share(solid - len(alnum), solid)
+        assert r["digit_ratio"] == share(sum(c in "0123456789" for c in alnum), len(alnum))
+        assert r["vowel_ratio"] == share(sum(c in p10.VOWELS for c in alnum), len(alnum))
+        assert r["line_end_share"] == share(sum(x.rstrip("\"'”’»)] ").endswith((".", "!", "?", "…", ":")) for x in lines), len(lines))
+        assert r["column_share"] == share(sum(map(cells, lines)), len(lines))
+        assert r["control_share"] == share(sum(x.lower() in p10.CONTROLS.split("|") for x in lines), len(lines))
